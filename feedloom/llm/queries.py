@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, copies, lookalikes, neighbours
+from . import clusters, copies, garbled, leaks, lookalikes, mixing, neighbours
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,14 +47,48 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapsed(_table(spark, sf_dir, "clean_review"), "seq", ["text"]).select("seq", "review_id", "n_copies")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_item")).select("item_id", "doc_id")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_item"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = mixing.mixed(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_target"))
+    return used.select("doc_id", "source", "n_tokens", F.round("rate", 6).alias("rate"), "copies")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.share_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_target"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled_documents(_table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.garbled_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_report, p5_found, p5_counts)}
+    every = (p1_found, p3_found, p4_found, p4_report, p5_found, p5_counts, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_restored)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
     bag = "list_sort(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''))"
     sets = f"with b as (select seq, review_id, {bag} as bag from clean_review), g as (select seq, review_id, len(bag) as n, min(seq) over (partition by bag) as keep, count(*) over (partition by bag) as c from b)"
+    item_words = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
+
+    def runs(key: str, table: str) -> str:
+        return f"select distinct {key}, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) as run from (select {key}, {item_words} as w from {table}) where len(w) >= 10"
+
+    leaked = f"with a as ({runs('item_id', 'eval_item')}), b as ({runs('doc_id', 'documents')})"
     return {
+        "p7_found": f"{leaked} select distinct item_id, doc_id from a join b using (run)",
+        "p7_report": f"{leaked}, n as (select item_id, count(*) as item_runs from a group by 1) select item_id, doc_id, count(*) as runs, max(item_runs) as item_runs from a join b using (run) join n using (item_id) group by 1, 2",
         "p5_found": f"{sets} select keep as keep_seq, seq as copy_seq from g where n > 0 and seq <> keep",
         "p5_counts": f"{sets} select seq, review_id, case when n > 0 then c else 1 end as n_copies from g where seq = keep or n = 0",
     }
