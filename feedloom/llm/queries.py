@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, copies, garbled, leaks, lookalikes, mixing, neighbours
+from . import clusters, copies, garbled, languages, leaks, lookalikes, mixing, neighbours, personal
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,24 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(_table(spark, sf_dir, "embedding_cache"))
 
 
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _table(spark, sf_dir, "raw_review")
+    clean = _table(spark, sf_dir, "clean_review")
+    # title and body are read in one pass; an item in one never depends on the other
+    both = raw.select(F.lit("raw_review").alias("tbl"), F.col("seq").alias("row_id"), F.explode(F.array(F.struct(F.lit("title").alias("field_name"), F.col("title").alias("text")), F.struct(F.lit("body").alias("field_name"), F.col("body").alias("text")))).alias("f"))
+    one = clean.select(F.lit("clean_review").alias("tbl"), F.col("seq").alias("row_id"), F.lit("text").alias("field_name"), "text")
+    return both.select("tbl", "row_id", "f.field_name", "f.text").unionByName(one)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal_data(_fields(spark, sf_dir))
+    return found.select("tbl", "row_id", "field_name", F.explode("kinds").alias("pii_kind"))
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_data(_fields(spark, sf_dir)).select("tbl", "row_id", "field_name", "n_items", "redacted")
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _table(spark, sf_dir, "raw_review").select(F.lit("raw_review").alias("tbl"), F.col("seq").alias("row_id"), F.col("body").alias("text"))
     clean = _table(spark, sf_dir, "clean_review").select(F.lit("clean_review").alias("tbl"), F.col("seq").alias("row_id"), "text")
@@ -47,6 +65,14 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapsed(_table(spark, sf_dir, "clean_review"), "seq", ["text"]).select("seq", "review_id", "n_copies")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.wrong_labels(_table(spark, sf_dir, "raw_review"))
+
+
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_segments(_table(spark, sf_dir, "raw_review"), "seq", "body", "locale").withColumnRenamed("key", "seq")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_item")).select("item_id", "doc_id")
 
@@ -73,7 +99,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p1_found, p3_found, p4_found, p4_report, p5_found, p5_counts, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_restored)
+    every = (p1_found, p2_found, p2_redacted, p3_found, p4_found, p4_report, p5_found, p5_counts, p6_found, p6_segments, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_restored)
     return {f.__name__: f for f in every}
 
 
