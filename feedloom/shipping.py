@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import zipfile
 from pathlib import Path
@@ -22,5 +23,5 @@ def ship(spark: SparkSession) -> None:
             for path in sorted(root.rglob("*.py")):
                 z.write(path, str(Path(root.name) / path.relative_to(root)))
     context.addPyFile(target.name)
-    Path(target.name).unlink(missing_ok=True)
+    atexit.register(Path(target.name).unlink, True)  # executors that start later fetch it from the driver
     _SENT.add(context.applicationId)
