@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookalikes import consistent_text
@@ -238,11 +238,18 @@ class Segmenter:
 
 
 def labelled_sample(rows: DataFrame, text: str, locale: str, most: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
-    """At most ``most`` texts of each language by their locale, in the order of a hash; some labels will be wrong."""
+    """About ``most`` texts, or all, of each language by their locale, chosen by a hash; some labels will be wrong.
+
+    Only counts are shuffled, one for each language.
+    """
     lang = locale_language(F.col(locale))
     some = rows.select(F.col(text).alias("t"), lang.alias("l")).where(F.col("l").isin(*LANGUAGES) & F.col("t").isNotNull() & (F.length("t") >= 40))
-    first = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("t"), "t"))
-    got = some.withColumn("r", first).where(F.col("r") <= most).orderBy("l", "r").toPandas()
+    counts = {r["l"]: r["count"] for r in some.groupBy("l").count().collect()}
+    cut = F.lit(0)
+    for name, n in counts.items():
+        cut = F.when(F.col("l") == name, int(min(1.0, most / n) * 1_000_000)).otherwise(cut)
+    drawn = some.where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(1_000_000)) < cut)
+    got = drawn.toPandas().sort_values(["l", "t"], ignore_index=True)
     return got["t"].tolist(), [LANGUAGES.index(x) for x in got["l"]]
 
 
@@ -255,27 +262,37 @@ def language_segments(rows: DataFrame, key: str, text: str, locale: str, least_v
     of fewer than ``least_votes`` voting words beside a longer one, gets the language null. Words count from 0, split at white
     space. Rows with a null key, null or blank text give no row; without a labelled row every language is null.
     """
+    schema = "key long, locale_lang string, n_words int, start int, end int, lang string, confidence double, votes int"
+
+    def rows_of(k, loc, stretches):
+        return [(k, loc, stretches[-1][1], a, b, LANGUAGES[g] if g >= 0 else None, round(c, 4), v) for a, b, g, c, v in stretches]
+
+    return _scan(rows, key, text, locale, least_votes, train_rows, rows_of, schema)
+
+
+def _scan(rows: DataFrame, key: str, text: str, locale: str, least_votes: int, train_rows: int, rows_of, schema: str) -> DataFrame:
+    """``rows_of(key, locale's language, stretches)`` of every text that has words."""
     texts, labels = labelled_sample(rows, text, locale, train_rows)
     model = LanguageModel().fit(texts, labels) if texts else None
     shared = rows.sparkSession.sparkContext.broadcast(model)
     src = rows.select(F.col(key).alias("key"), locale_language(F.col(locale)).alias("locale_lang"), F.col(text).alias("t")).where("key is not null and t is not null")
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        segmenter = Segmenter(model) if model is not None else None
+        segmenter = Segmenter(shared.value) if shared.value is not None else None
         for frame in frames:
             got = []
             texts = frame["t"].tolist()
-            found = segmenter.segments(texts) if segmenter else [[(0, len(t.split()), -1, 0.0, 0)] for t in texts]
+            found = segmenter.segments(texts) if segmenter else [[(0, len(t.split()), -1, 0.0, 0)] if t.split() else [] for t in texts]
             for k, loc, stretches in zip(frame["key"], frame["locale_lang"], found):
                 if len(stretches) > 1:
                     most = max(s[4] for s in stretches)
                     stretches = [s if s[4] >= least_votes or s[4] == most else (*s[:2], -1, *s[3:]) for s in stretches]
-                n = stretches[-1][1] if stretches else 0
-                got += [(k, loc, n, a, b, LANGUAGES[g] if g >= 0 else None, round(c, 4), v) for a, b, g, c, v in stretches]
-            yield pd.DataFrame(got, columns=["key", "locale_lang", "n_words", "start", "end", "lang", "confidence", "votes"])
+                if stretches:
+                    got += rows_of(k, loc, stretches)
+            yield pd.DataFrame(got, columns=names)
 
-    return src.mapInPandas(scan, "key long, locale_lang string, n_words int, start int, end int, lang string, confidence double, votes int")
+    return src.mapInPandas(scan, schema)
 
 
 def wrong_labels(rows: DataFrame, key: str = "seq", text: str = "body", locale: str = "locale", least_words: int = 8) -> DataFrame:
@@ -283,8 +300,11 @@ def wrong_labels(rows: DataFrame, key: str = "seq", text: str = "body", locale:
 
     Only texts of at least ``least_words`` words. One row for each language of the text. See ``language_segments``.
     """
-    found = language_segments(rows, key, text, locale).where((F.col("n_words") >= least_words) & F.col("lang").isNotNull())
-    by = found.groupBy("key", "lang").agg(F.first("locale_lang").alias("locale_lang"))
-    every = by.groupBy("key").agg(F.collect_set("lang").alias("langs"), F.first("locale_lang").alias("l"))
-    wrong = F.col("l").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("l"))
-    return every.where(wrong).select(F.col("key").alias(key), F.explode("langs").alias("lang"))
+
+    def rows_of(k, loc, stretches):
+        langs = {LANGUAGES[s[2]] for s in stretches if s[2] >= 0}
+        wrong = stretches[-1][1] >= least_words and (loc is None or len(langs) > 1 or loc not in langs)
+        return [(k, x) for x in sorted(langs)] if wrong else []
+
+    found = _scan(rows, key, text, locale, 4, TRAIN_ROWS, rows_of, "key long, lang string")
+    return found.withColumnRenamed("key", key)
