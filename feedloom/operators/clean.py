@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 
 def cleaned(reviews: DataFrame, source_order: tuple[str, ...] = ("app_store", "play_store"), least_tokens: int = 5) -> DataFrame:
@@ -13,14 +14,18 @@ def cleaned(reviews: DataFrame, source_order: tuple[str, ...] = ("app_store", "p
 
     Title and body are merged and scrubbed; texts of fewer than ``least_tokens`` substantive tokens are short (so is what
     scrubbing emptied), then the language is judged, then the first row of each hash by source order and ``seq``
-    survives. Only hashes and the order are shuffled to find it. Rows without title and body count as short.
+    survives. The texts are written once, as two steps read them; only hashes and the
+    order are shuffled. Rows without title and body count as short.
     """
     order = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in source_order]), F.col("source")), F.lit(0))
-    merged = reviews.select(
-        "source", "seq", F.concat_ws(":", "source", "review_id").alias("review_id"), order.alias("_ord"), T.scrub(T.merge_fields(F.col("title"), F.col("body"))).alias("text")
-    )
-    judged = merged.withColumn("_why", F.when(T.substantive_tokens(F.col("text")) < least_tokens, "short").when(T.is_non_english(F.col("text")), "lang"))
-    hashed = judged.withColumn("text_hash", T.text_hash(F.col("text")))
+    def judged(t):
+        why = F.when(T.substantive_tokens(t) < least_tokens, "short").when(T.is_non_english(t), "lang")
+        return F.struct(t.alias("text"), why.alias("why"))
+
+    scrubbed = T.let(T.scrub(T.merge_fields(F.col("title"), F.col("body"))), judged)
+    rows = reviews.select("source", "seq", F.concat_ws(":", "source", "review_id").alias("review_id"), order.alias("_ord"), scrubbed.alias("j"))
+    once = materialize(rows.select("source", "seq", "review_id", "_ord", "j.text", F.col("j.why").alias("_why")))
+    hashed = once.withColumn("text_hash", T.text_hash(F.col("text")))
     first = hashed.where("_why is null").groupBy("text_hash").agg(F.min(F.struct("_ord", "seq")).alias("_first"))
     joined = hashed.join(first, "text_hash", "left")
     reason = F.coalesce(F.col("_why"), F.when(F.struct("_ord", "seq") > F.col("_first"), "dedup"))
