@@ -84,8 +84,13 @@ class LanguageModel:
                 guess = self._scores([np.concatenate(docs[i]) for i in train])
                 train = train[guess.argmax(1) == y[train]]
             step = rate * (1 - r / rounds)
-            for s in range(0, len(train), batch):
-                rows = rng.permutation(train)[:batch] if s == 0 else train[s : s + batch]
+            # every language as often as the most frequent one, and enough steps where rows are few
+            kinds = [train[y[train] == k] for k in np.unique(y[train])]
+            each = max(max((len(k) for k in kinds), default=0), 1000)
+            turn = np.concatenate([rng.permutation(np.resize(rng.permutation(k), each)) for k in kinds]) if kinds else train
+            rng.shuffle(turn)
+            for s in range(0, len(turn), batch):
+                rows = turn[s : s + batch]
                 bags = []
                 for i in rows:
                     n = int(rng.integers(3, 16))
@@ -104,7 +109,6 @@ class LanguageModel:
                 back = (p @ self.out.T) / size[:, None]
                 self.out -= 0.02 * step * (mean.T @ p)
                 np.add.at(self.embed, flat, -step * back[owner])
-            rng.shuffle(train)
         self._calibrate(docs, y, held)
         return self
 
