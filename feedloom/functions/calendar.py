@@ -47,5 +47,5 @@ def week_range(ranges: DataFrame, first: str, last: str) -> DataFrame:
 def quarter_label(week: Column) -> Column:
     """``Q2 2026`` of a week, thirteen weeks to a quarter and the rest to the last; else ``Current Period``."""
     year, number = F.regexp_extract(week, r"^(\d{4})-W(\d{1,2})$", 1), F.nullif(F.regexp_extract(week, r"^(\d{4})-W(\d{1,2})$", 2), F.lit("")).cast("int")
-    quarter = F.least(F.floor((number - 1) / 13) + 1, F.lit(4))
+    quarter = F.when(number.isNotNull(), F.least(F.floor((number - 1) / 13) + 1, F.lit(4)))
     return F.coalesce(F.concat(F.lit("Q"), quarter.cast("string"), F.lit(" "), year), F.lit("Current Period"))
