@@ -9,6 +9,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Letters of other scripts that are drawn like a Latin letter, and that letter.
 _CYRILLIC = "аеорсухіјѕһԁԛԝӏАВЕКМНОРСТУХІЈЅԚԜӀ"
 _CYRILLIC_AS = "aeopcyxijshdqwlABEKMHOPCTYXIJSQWI"
@@ -97,24 +99,24 @@ def look_alike_rows(rows: DataFrame) -> DataFrame:
     keyed = mapped.select("tbl", "row_id", "text", "mapped", F.xxhash64("text").alias("exact"), _coarse(F.col("mapped")).alias("coarse"))
     mixed = keyed.groupBy("tbl", "coarse").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).where("lo <> hi").select("tbl", "coarse")
     some = keyed.join(mixed, ["tbl", "coarse"])
-    some.createOrReplaceTempView("feedloom_some")
     classes = spark.sql(
         """
         select tbl, coarse, collate(mapped, 'UNICODE') as form, min(text) as canonical
-        from (select distinct tbl, coarse, mapped, text from feedloom_some)
+        from (select distinct tbl, coarse, mapped, text from {some})
         group by tbl, coarse, collate(mapped, 'UNICODE')
         having min(text) <> max(text)
-        """
+        """,
+        some=some,
     )
-    classes.createOrReplaceTempView("feedloom_classes")
-    found = spark.sql(
+    return spark.sql(
         """
         select s.tbl, s.row_id, s.text, c.canonical
-        from feedloom_some s join feedloom_classes c
+        from {some} s join {classes} c
         on s.tbl = c.tbl and s.coarse = c.coarse and collate(s.mapped, 'UNICODE') = c.form
-        """
+        """,
+        some=some,
+        classes=classes,
     )
-    return found
 
 
 def look_alike_pairs(rows: DataFrame, salt_rows: int = 2000) -> DataFrame:
@@ -122,8 +124,6 @@ def look_alike_pairs(rows: DataFrame, salt_rows: int = 2000) -> DataFrame:
 
     Joined through the class's distinct strings; a class of many rows is salted by its size, so a hot one is spread.
     """
-    from ..session import materialize
-
     found = materialize(look_alike_rows(rows).select("tbl", "row_id", F.xxhash64("canonical").alias("c1"), F.hash("canonical").alias("c2"), F.xxhash64("text").alias("exact")))
     size = found.groupBy("tbl", "c1", "c2").agg(F.ceil(F.count(F.lit(1)) / salt_rows).cast("int").alias("cuts"))
     sized = found.join(size, ["tbl", "c1", "c2"])

@@ -129,7 +129,7 @@ def share_report(documents: DataFrame, targets: DataFrame, total_tokens: int | N
     by = used.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("copies").alias("n_copies"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("n_tokens")
     )
-    all_ = by.agg(F.sum("n_tokens").alias("all_tokens"))
-    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left").join(F.broadcast(all_))
+    total = used.agg(F.sum(F.col("copies") * F.col("n_tokens"))).first()[0] or 1
+    out = targets.select("source", "target_share", "max_repeats").join(by, "source", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_docs", "n_copies", "most_copies", "n_tokens")}
-    return out.select("source", "target_share", "max_repeats", *zero.values(), F.round(F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("actual_share"))
+    return out.select("source", "target_share", "max_repeats", *zero.values(), F.round(F.coalesce(F.col("n_tokens") / F.lit(total), F.lit(0.0)), 6).alias("actual_share"))

@@ -112,7 +112,27 @@ def oracle_sql() -> dict[str, str]:
         return f"select distinct {key}, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i+9], ' '))) as run from (select {key}, {item_words} as w from {table}) where len(w) >= 10"
 
     leaked = f"with a as ({runs('item_id', 'eval_item')}), b as ({runs('doc_id', 'documents')})"
+    old, new, gone = lookalikes.tables()
+    form = "text"
+    for ligature, letters in lookalikes.LIGATURES.items():
+        form = f"replace({form}, '{ligature}', '{letters}')"
+    form = f"nfc_normalize(translate({form}, '{old + gone}', '{new.replace(chr(39), chr(39) * 2)}'))"
+    # exact where the index has one leaf, as on the small tables
+    unit = """
+      v as (select model_version, cache_id, list_transform(vector, lambda x: x::double) as x from embedding_cache
+        where vector is not null and len(vector) = dim and len(list_filter(vector, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+      u as (select model_version, cache_id, list_transform(x, lambda y: y / sqrt(list_dot_product(x, x))) as x from v),
+      c as (select a.cache_id as a, b.cache_id as b, round(list_dot_product(a.x, b.x), 9) as cos from u a join u b on a.model_version = b.model_version and a.cache_id <> b.cache_id)"""
     return {
+        "p1_found": f"with {unit}, t as (select a, b from (select *, row_number() over (partition by a order by cos desc, b) as k from c) where k <= 5 and cos >= 0.75) select distinct least(a, b) as cache_a, greatest(a, b) as cache_b from t",
+        "p3_found": f"""
+          with t as (select 'raw_review' as tbl, seq, body as text from raw_review union all select 'clean_review', seq, text from clean_review),
+          m as (select tbl, seq, text, {form} as form from t where text is not null)
+          select distinct a.tbl, a.seq as row_a, b.seq as row_b from m a join m b on a.tbl = b.tbl and a.form = b.form and a.seq < b.seq and a.text <> b.text""",
+        "p4_found": f"""
+          with recursive {unit}, e as (select a, b from c where cos >= 0.75), r as (select a, a as b from e union select r.a, e.b from r join e on r.b = e.a),
+          k as (select a as cache_id, min(b) as cluster_key from r group by 1)
+          select cluster_key, cache_id from k where cluster_key in (select cluster_key from k group by 1 having count(*) >= 5)""",
         "p7_found": f"{leaked} select distinct item_id, doc_id from a join b using (run)",
         "p7_report": f"{leaked}, n as (select item_id, count(*) as item_runs from a group by 1) select item_id, doc_id, count(*) as runs, max(item_runs) as item_runs from a join b using (run) join n using (item_id) group by 1, 2",
         "p5_found": f"{sets} select keep as keep_seq, seq as copy_seq from g where n > 0 and seq <> keep",
