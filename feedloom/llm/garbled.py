@@ -47,7 +47,7 @@ def suspicious_pattern() -> str:
         # two-byte leads of Latin, Greek, Cyrillic and Arabic letters
         lead = group(codec, [*range(0xC2, 0xC6), *range(0xCE, 0xD2), 0xD8, 0xD9])
         parts += [lead + tail, group(codec, range(0xE0, 0xF0)) + tail + "{2}", group(codec, range(0xF0, 0xF5)) + tail + "{3}"]
-    return "|".join(parts)
+    return "(?=[^\\x00-\\x7f])(?:" + "|".join(parts) + ")"  # places with an ASCII character are passed over at once
 
 
 class Restorer:
