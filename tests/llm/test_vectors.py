@@ -91,6 +91,19 @@ def test_nothing_to_compare(spark, rows):
     assert clusters.cluster_report(cache).count() == 0
 
 
+def test_hot_cluster_of_near_and_exact_copies(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=8)
+    hot = [list(base + rng.normal(scale=0.01, size=8)) for _ in range(300)] + [list(base)] * 100
+    some = hot + [list(rng.normal(size=8) * 2) for _ in range(40)]
+    cache = cache_of(spark, some)
+    want = brute(some)
+    assert {(r.cluster_key, r.cache_id) for r in clusters.similarity_clusters(cache).collect()} == want[1]
+    assert {(r.cache_a, r.cache_b) for r in neighbours.similar_pairs(cache).collect()} == want[0]
+    report = {r.cluster_key: r.size for r in clusters.cluster_report(cache).collect()}
+    assert report == {k: sum(c == k for c, _ in want[1]) for k, _ in want[1]}
+
+
 def test_tree_visits_every_leaf_and_best_first():
     rng = np.random.default_rng(3)
     x = unit_rows(rng.normal(size=(500, 8)).astype(np.float32))
