@@ -151,13 +151,20 @@ def oracle_sql() -> dict[str, str]:
           select run_id, cluster_id, count(*) as n_valid from q join m using (run_id, cluster_id, review_id) join t using (review_id)
           where {_norm(unescaped.format('quote'))} <> '' and contains({_norm('text')}, {_norm(unescaped.format('quote'))}) group by 1, 2""",
         "title_dedup": f"""
-          with g as (select product, strftime(posted_at, '%Y-%m-%d') as day, list(title order by seq) as t from raw_review where title is not null group by 1, 2)
-          select product, day, len(t) as n, len(list_reduce(list_transform(t, lambda x: [x]), lambda acc, x: case when len(list_filter(acc, lambda k:
-            len(list_intersect({_tokens('lower(k)')}, {_tokens('lower(x[1])')})) / len(list_distinct(list_concat({_tokens('lower(k)')}, {_tokens('lower(x[1])')}))) > 0.7)) > 0 then acc else list_concat(acc, x) end)) as n_kept from g""",
+          with l as (select run_id, cluster_id, centroid_review_ids[1] as review_id from review_cluster),
+          g as (select run_id, list(array_to_string(({_tokens('text')})[1:5], ' ') order by cluster_id) as t from l join {first_text} using (review_id) group by 1)
+          select run_id, len(t) as n, array_to_string(list_reduce(list_transform(t, lambda x: [x]), lambda acc, x: case when len(list_filter(acc, lambda k:
+            len(list_intersect({_tokens('lower(k)')}, {_tokens('lower(x[1])')})) / len(list_distinct(list_concat({_tokens('lower(k)')}, {_tokens('lower(x[1])')}))) > 0.7)) > 0 then acc else list_concat(acc, x) end), ' / ') as kept from g""",
         "action_word_limit": f"select doc_id, len(list_filter(string_split(text, '. '), lambda a: len({_tokens('a')}) <= 12)) as n_short, left(text, 60) as title from documents",
-        "token_budget_running": """
-          select *, running <= 200000 as admitted from (select product, doc_id, estimate, sum(estimate) over (partition by product order by doc_id rows unbounded preceding)::bigint as running
-            from (select product, doc_id, length(text) // 4 + 500 as estimate from documents where product is not null))""",
+        "token_budget_running": f"""
+          with l as (select run_id, cluster_id, unnest(centroid_review_ids) as review_id from review_cluster),
+          p as (select run_id, cluster_id, sum(length('<review id="' || review_id || '">' || {escaped.format("coalesce(text, '')")} || '</review>')) + count(*) - 1 as chars from l join {first_text} using (review_id) group by 1, 2),
+          e as (select run_id, cluster_id, (chars // 4 + 500)::bigint as estimate from p)
+          select *, running <= 2500 as admitted from (select *, sum(estimate) over (partition by run_id order by cluster_id rows unbounded preceding)::bigint as running from e)""",
+        "latest_states": """
+          select run_id, case when left(run_id, 1) in ('0', '3', '6', '9', 'c', 'f') then 'ok' else status end as status,
+            case when left(run_id, 1) in ('0', '3', '6', '9', 'c', 'f') then started_at + interval 1 hour else started_at end as event_at from pulse_run""",
+        "repeated_sends": f"select product, iso_week, count(*) as n from pulse_run where {sent} group by 1, 2 having count(*) > 1",
         "anchor_slug": f"""
           select run_id, {anchor} as anchor, {anchor} = doc_section_anchor as as_stored, sha256(product || '|' || iso_week || '|1') as key,
             'https://docs.example.com/document/d/' || run_id || '/edit#heading=' || {anchor} as link from pulse_run""",

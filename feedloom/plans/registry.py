@@ -239,10 +239,14 @@ def quote_validate(s, d):
 
 
 def title_dedup(s, d):
-    """Titles of the reviews of each product and day, in order, without near repeats; a day bounds the list."""
-    titles = _t(s, d, "raw_review").where("title is not null").groupBy("product", F.date_format("posted_at", "yyyy-MM-dd").alias("day")).agg(F.array_sort(F.collect_list(F.struct("seq", "title"))).alias("t"))
+    """Theme titles of each run in cluster order, without near repeats; a run has a few clusters. The first five words
+    of a cluster's first typical review stand for its title."""
+    lead = _t(s, d, "review_cluster").select("run_id", "cluster_id", F.col("centroid_review_ids")[0].alias("review_id"))
+    known = _t(s, d, "clean_review").groupBy("review_id").agg(F.min_by("text", "seq").alias("text"))
+    titled = lead.join(known, "review_id").select("run_id", "cluster_id", F.concat_ws(" ", F.slice(T.tokens(F.col("text")), 1, 5)).alias("title"))
+    titles = titled.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("cluster_id", "title"))).alias("t"))
     kept = themes.dedup_titles(F.transform("t", lambda x: x["title"]))
-    return titles.select("product", "day", F.size("t").cast("long").alias("n"), F.size(kept).cast("long").alias("n_kept"))
+    return titles.select("run_id", F.size("t").cast("long").alias("n"), F.array_join(kept, " / ").alias("kept"))
 
 
 def theme_answers(s, d):
@@ -258,8 +262,21 @@ def action_word_limit(s, d):
 
 
 def token_budget_running(s, d):
-    rows = _t(s, d, "documents").where("product is not null").select("product", "doc_id", "text")
-    return themes.token_budget(rows, ["product"], ["doc_id"], "text", 200_000).select("product", "doc_id", "estimate", "running", "admitted")
+    """Admission of each run's calls, one for each cluster, in order: a bounded running sum."""
+    lines = themes.prompt_lines(_t(s, d, "review_cluster"), _t(s, d, "clean_review"), ["run_id", "cluster_id"])
+    calls = themes.prompts(lines, ["run_id", "cluster_id"])
+    return themes.token_budget(calls, ["run_id"], ["cluster_id"], "prompt", 2_500).select("run_id", "cluster_id", "estimate", "running", "admitted")
+
+
+def latest_states(s, d):
+    """Runs after a second event for every third of them."""
+    runs = _t(s, d, "pulse_run").select("run_id", "started_at", "status", F.col("started_at").alias("event_at"))
+    later = runs.where(F.substring("run_id", 1, 1).isin("0", "3", "6", "9", "c", "f")).withColumn("status", F.lit("ok")).withColumn("event_at", F.col("event_at") + F.expr("INTERVAL 1 HOUR"))
+    return audit.latest_state(runs.unionByName(later)).select("run_id", "status", "event_at")
+
+
+def repeated_sends(s, d):
+    return audit.repeated_sends(_t(s, d, "pulse_run"))
 
 
 def anchor_slug(s, d):
@@ -357,7 +374,7 @@ _ALL = (
     corpus_stats, merge_title_body, text_normalize_hash, text_hash_check, emoji_flag, letters_filter, token_filter, language_gate, pii_counts, pii_scrub, synthetic_ids, iso_weeks, week_windows, last_completed_weeks,
     week_ranges, source_resolution, window_filter, window_dedup, ingest_funnel, source_cap, union_of_sources, missing_sources, payload_fields, clean_reasons, dedup_first_hash, embedding_cache_misses, cache_upsert,
     centroid_topn, cosine_to_centroid, noise_share, cluster_assemble, rating_histogram, cluster_rank, fallback_buckets, cluster_density, reduce_dims, silhouette_sampled, hashed_embeddings, prompt_lines, quote_validate,
-    title_dedup, theme_answers, action_word_limit, token_budget_running, anchor_slug, anchor_membership, doc_blocks, utf16_lengths, recent_runs, prior_send, partial_runs, run_decision, run_counts, worst_exit, latest_run,
+    title_dedup, theme_answers, action_word_limit, token_budget_running, latest_states, repeated_sends, anchor_slug, anchor_membership, doc_blocks, utf16_lengths, recent_runs, prior_send, partial_runs, run_decision, run_counts, worst_exit, latest_run,
     activity_feed, theme_enrich_priority, pulse_summary, star_strip, header_lookup, audit_error_cut, sessions_of_events,
 )
 
