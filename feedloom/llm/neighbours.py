@@ -11,7 +11,7 @@ from ..session import materialize
 from . import blocks
 from .kmtree import Tree, unit_rows
 
-RECALL = 0.99
+RECALL = 0.98
 LEAF_ROWS = 4096
 SLACK = 3
 
@@ -48,6 +48,12 @@ class TreeRouter:
         return out
 
 
+def leaf_size(rows: int) -> int:
+    """Rows of a leaf: with its square root the number of leaves grows as slowly as their size, so neither the visits
+    (what is shuffled) nor the comparisons of a visit (what is computed) run away."""
+    return max(LEAF_ROWS, int(12 * rows**0.5))
+
+
 def best_of_block(k: int, min_cosine: float):
     """The ``k`` best members of each query within a block, in double precision, ties to the smaller id."""
 
@@ -101,7 +107,7 @@ def best_of_block(k: int, min_cosine: float):
     return kernel
 
 
-def most_similar(cache: DataFrame, k: int = 5, min_cosine: float = 0.75, recall: float = RECALL, leaf_rows: int = LEAF_ROWS, sample_rows: int = blocks.SAMPLE_ROWS) -> DataFrame:
+def most_similar(cache: DataFrame, k: int = 5, min_cosine: float = 0.75, recall: float = RECALL, leaf_rows: int | None = None, sample_rows: int = blocks.SAMPLE_ROWS) -> DataFrame:
     """(id, other, cosine, rank): the ``k`` vectors of the same model version most similar to each vector.
 
     Only vectors with a cosine of at least ``min_cosine`` count, rounded to 9 decimals, ties to the smaller id. The index
@@ -130,7 +136,7 @@ def most_similar(cache: DataFrame, k: int = 5, min_cosine: float = 0.75, recall:
         rest = materialize(rest.select("id", "lead"))
         searched = materialize(vectors.join(rest, "id", "left_anti"))
     groups = blocks.groups_of(searched)
-    routers = [TreeRouter(Tree.fit(unit_rows(s), int(g.rows), leaf_rows)) for s, g in zip(blocks.sample_of(searched, groups, sample_rows), groups.itertuples())]
+    routers = [TreeRouter(Tree.fit(unit_rows(s), int(g.rows), leaf_rows or leaf_size(int(g.rows)))) for s, g in zip(blocks.sample_of(searched, groups, sample_rows), groups.itertuples())]
     margins = _calibrate(searched, groups, routers, k, min_cosine, recall)
     found = blocks.meet(searched, routers, groups, margins, best_of_block(k, min_cosine), "id long, other long, cosine double")
     top = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)
