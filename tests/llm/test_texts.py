@@ -50,6 +50,13 @@ def test_personal_items(finder, text, kinds):
     assert {k for _, _, k in finder.spans([personal.plain(text)])[0]} == kinds
 
 
+@pytest.mark.parametrize("name", ["Nadia Harrovane", "Frelstrand, Arun", "A. Corvstrand", "PAULA DRAVIVIK"])
+def test_names_without_a_cue(finder, name):
+    text = f"{name} was rude"
+    assert finder.spans([text])[0] == [(0, len(name), "name")]
+    assert any(text[a:b] == name for a, b, *_ in finder.candidates(f"{text}\nThe app is slow today."))
+
+
 def test_redaction_keeps_the_rest(finder):
     text = "Ｐrоs: call me on ６１７-５５５-０１２８ after​ six — ﬁne."
     mapped = personal.plain(text)
