@@ -20,6 +20,7 @@ from ..session import materialize
 from .kmtree import unit_rows
 
 BLOCK_MEMBERS = 8192
+LEAST_PART, MOST_PART = 16_384, 65_536
 BLOCK_QUERIES = 32768
 SAMPLE_ROWS = 40_000
 PROBES = 400
@@ -194,6 +195,39 @@ def meet(vectors: DataFrame, routers: list, groups: pd.DataFrame, margins: list[
     return sent.groupBy("g", "cell", "m", "k").applyInArrow(work, schema)
 
 
+def meet_all(vectors: DataFrame, groups: pd.DataFrame, kernel: Callable, schema: str) -> DataFrame:
+    """``kernel(ids, vectors, ids, vectors)`` on each pair of parts, so that all vectors of a group meet all others once.
+
+    A part has 16,384 rows or more, growing up to 65,536, so that a vector is copied as rarely as memory allows.
+    """
+    index = index_of(groups)
+    parts = [max(1, -(-int(n) // min(MOST_PART, max(LEAST_PART, int(n) // 6)))) for n in groups.rows]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, ids, raw, _ in by_group(batch, index):
+                own = np.repeat(ids.astype(np.int64) * 7919 % 1_000_003 % parts[g], parts[g])
+                other = np.tile(np.arange(parts[g]), len(ids))
+                row = np.repeat(np.arange(len(ids)), parts[g])
+                role = np.where(own == other, 3, np.where(own < other, 1, 2))
+                data = [r.tobytes() for r in raw]
+                for s in range(0, len(row), 8192):
+                    e = slice(s, s + 8192)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(row[e]), g, np.int32)), pa.array(np.minimum(own, other)[e].astype(np.int32)), pa.array(np.maximum(own, other)[e].astype(np.int32)), pa.array(role[e].astype(np.int8)), pa.array(ids[row[e]]), pa.array([data[i] for i in row[e]], pa.binary())],
+                        names=["g", "i", "j", "role", "id", "vec"],
+                    )
+
+    def work(table: pa.Table) -> pa.Table:
+        role, ids, vec = table.column("role").to_numpy(), table.column("id").to_numpy(), table.column("vec").to_pylist()
+        raw = np.frombuffer(b"".join(vec), np.float32).reshape(len(vec), -1)
+        one, two = (role & 1) > 0, (role & 2) > 0
+        return pa.Table.from_pandas(kernel(int(table.column("g")[0].as_py()), ids[one], raw[one], ids[two], raw[two]), preserve_index=False)
+
+    sent = vectors.mapInArrow(send, "g int, i int, j int, role byte, id long, vec binary")
+    return sent.groupBy("g", "i", "j").applyInArrow(work, schema)
+
+
 def scan_probes(vectors: DataFrame, groups: pd.DataFrame, routers: list, probes: list, kernel: Callable, schema: str) -> DataFrame:
     """``kernel(g, probe ids, probe vectors, probe gaps, ids, vectors, home cells)`` on every batch of all vectors."""
     spark = vectors.sparkSession

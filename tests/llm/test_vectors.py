@@ -66,6 +66,22 @@ def test_sliced_blocks_lose_nothing(spark, vectors, monkeypatch):
     assert {(r.cluster_key, r.cache_id) for r in clusters.similarity_clusters(cache).collect()} == members
 
 
+def test_small_clusters_beside_a_hot_one_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "CELL_ROWS", 1)
+    monkeypatch.setattr(blocks, "LEAST_PART", 100, raising=False)
+    rng = np.random.default_rng(8)
+    at = lambda n, spread: rng.normal(size=32) + spread * rng.normal(size=(n, 32))
+    # the hot cluster has nearly all links; those of the small ones count for little in a share of all links
+    x = np.concatenate([at(1500, 0.3), *(at(6, 0.55) for _ in range(150)), rng.normal(size=(300, 32))]).astype(np.float32)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    label = clusters.merge(np.arange(len(x)), *np.nonzero(unit @ unit.T >= 0.75))
+    size = np.bincount(label, minlength=len(x))
+    want = {(int(c), i) for i, c in enumerate(label) if size[c] >= 5}
+    cache = spark.createDataFrame([(i, "m", row.tolist(), 32) for i, row in enumerate(x)], "cache_id long, model_version string, vector array<float>, dim int")
+    assert len({c for c, _ in want}) > 20
+    assert {(r.cluster_key, r.cache_id) for r in clusters.similarity_clusters(cache).collect()} == want
+
+
 def test_clusters_match_brute_force_and_report(spark, vectors):
     cache = cache_of(spark, vectors)
     want = brute(vectors)[1]
