@@ -60,6 +60,7 @@ class Restorer:
     """
 
     COST, WILD, UNKNOWN = 3.0, 4.0, 2.5
+    SWITCH = 8.0  # for reading a token, or a whole text, in another single-byte encoding
 
     def __init__(self, pieces: dict[str, int]):
         total = sum(pieces.values()) + 1
@@ -100,6 +101,65 @@ class Restorer:
         for f in self.by_first.values():
             f.sort(key=len, reverse=True)
         self.cache: dict[str, tuple[str, int]] = {}
+        self.rare = math.log(5.5 / total)
+        self.others: dict[str, dict[tuple[str, str], tuple[str, float, bool]]] = {}
+
+    def _words_score(self, token: str) -> tuple[float, bool]:
+        """(score, whether all are known) of the words and non-ASCII characters of a token."""
+        score, known = 0.0, True
+        for w in _PIECE.findall(token):
+            found = self.log.get(w.lower())
+            known &= found is not None
+            score += self._word(w)
+        return score, known
+
+    def _swapped(self, token: str) -> dict[tuple[str, str], tuple[str, float, bool]]:
+        """For each pair (encoding read in, true encoding): the token's reading, what it gains in score, whether its words are all known."""
+        got = self.others.get(token)
+        if got is None:
+            got, now = {}, self._words_score(token)[0]
+            for read in CODECS:
+                try:
+                    raw = token.encode(read)
+                except UnicodeEncodeError:
+                    continue
+                for true in CODECS:
+                    try:
+                        text = raw.decode(true)
+                    except UnicodeDecodeError:
+                        continue
+                    if text != token and not _CONTROL.search(text):
+                        score, known = self._words_score(text)
+                        got[read, true] = text, score - now, known
+            if len(self.others) > 50_000:
+                self.others.clear()
+            self.others[token] = got
+        return got
+
+    def reread(self, tokens: list[str]) -> list[str]:
+        """The tokens after reading single-byte text that was decoded in another single-byte encoding.
+
+        All non-ASCII tokens are read in one pair of encodings if that gains enough over the whole text and the words of 0.7 of them become known; else a
+        token of unknown words is, if it gains as much and all its words become known.
+        """
+        at = [i for i, t in enumerate(tokens) if t and not t.isascii() and LOST not in t]
+        odd = [i for i in at if any(not w.isascii() and self.log.get(w.lower(), self.floor) < self.rare for w in _PIECE.findall(tokens[i]))]
+        if not odd:
+            return tokens
+        pairs = {p for i in odd for p in self._swapped(tokens[i])}
+        gain = {p: sum(self._swapped(tokens[i]).get(p, ("", -self.SWITCH, False))[1] for i in at) for p in pairs} if len(at) > 2 else {}
+        best = max(gain, key=lambda p: (gain[p], p), default=None)
+        out = list(tokens)
+        whole = best is not None and gain[best] > self.SWITCH * 2 and sum(self._swapped(tokens[i]).get(best, ("", 0, False))[2] for i in at) >= 0.7 * len(at)
+        for i in at if whole else odd:
+            if whole:
+                found = self._swapped(tokens[i]).get(best)
+            else:
+                fit = [x for x in self._swapped(tokens[i]).values() if x[2] and x[1] > self.SWITCH] if not self._words_score(tokens[i])[1] else []
+                found = max(fit, key=lambda x: (x[1], x[0]), default=None)
+            if found:
+                out[i] = found[0]
+        return out
 
     def _complete(self, s: str, at: int) -> Iterator[tuple[int, str]]:
         """Complete UTF-8 sequences at a place, in any encoding, whatever the character they stand for."""
@@ -191,8 +251,13 @@ class Restorer:
         if text.isascii():
             return text, 0, 0
         out, n = [], 0
-        for token in regex.split(r"([ \t\r\n]+)", text):
-            if token and not token.isascii() and self.suspect(token):
+        tokens = regex.split(r"([ \t\r\n]+)", text)
+        read = self.reread(tokens)
+        for token, other in zip(tokens, read):
+            if other != token and (not self.suspect(token) or not self.restore(token)[1] or self._words_score(other)[0] >= self._words_score(self.restore(token)[0])[0]):
+                out.append(other)
+                n += sum(a != b for a, b in zip(token, other))
+            elif token and not token.isascii() and self.suspect(token):
                 got, k = self.restore(token)
                 out.append(got)
                 n += k

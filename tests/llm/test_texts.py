@@ -231,6 +231,13 @@ def test_round_trip(restorer, codec, word):
     assert restorer.restore_text(f"so {garbled.garble(word, codec)} it is")[:2] == (f"so {word} it is", 1)
 
 
+@pytest.mark.parametrize("read", ["cp1252", "latin-1", "koi8_r", "mac_roman"])
+def test_single_byte_text_in_another_encoding(restorer, read):
+    text = "Не могу войти потому что код"
+    got = restorer.restore_text(text.encode("cp1251").decode(read))
+    assert got[0] == text and got[1] > 10
+
+
 def test_lost_bytes_double_decoding_and_traps(restorer):
     assert restorer.restore_text("r�gl�")[0] == "réglé"
     assert restorer.restore_text(garbled.garble(garbled.garble("réglé", "cp1252"), "cp1252"))[0] == "réglé"
