@@ -206,7 +206,7 @@ def cluster_density(s, d):
 
 def reduce_dims(s, d):
     out = clusters.reduced(_t(s, d, "embeddings"), "embedding")
-    return out.select("vec_id", F.size("reduced").alias("dims"))
+    return out.select("vec_id", F.transform("reduced", lambda x: F.round(x, 6)).alias("reduced"))
 
 
 def silhouette_sampled(s, d):
@@ -214,7 +214,7 @@ def silhouette_sampled(s, d):
 
 
 def hashed_embeddings(s, d):
-    return clusters.hashed_embedding(_t(s, d, "clean_review"), "seq", "text").select("seq", F.size("vector").alias("dims"))
+    return clusters.hashed_embedding(_t(s, d, "clean_review"), "seq", "text").select("seq", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
 
 
 def prompt_lines(s, d):

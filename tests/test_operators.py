@@ -255,3 +255,13 @@ def test_stream(spark, tmp_path):
 def test_pushdown(spark, data):
     plan = spark.read.parquet(f"{data}/raw_review.parquet").where(F.col("posted_at") >= F.lit(WINDOW[0]).cast("timestamp_ntz")).select("seq")._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(posted_at" in plan and "body" not in plan.split("ReadSchema")[1]
+
+
+def test_vectors_themselves_are_returned(spark, data):
+    from feedloom.plans import registry
+
+    reduced = registry.reduce_dims(spark, data).limit(50).collect()
+    assert len({tuple(r.reduced) for r in reduced}) > 1
+    embedded = registry.hashed_embeddings(spark, data).limit(50).collect()
+    assert len({tuple(r.vector) for r in embedded}) > 1
+    assert all(abs(sum(x * x for x in r.vector) - 1) < 1e-3 or not any(r.vector) for r in embedded)
