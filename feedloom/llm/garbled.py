@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,15 +17,17 @@ from pyspark.sql import functions as F
 
 # The encodings in which UTF-8 bytes are commonly misread.
 CODECS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250", "iso8859_15")
-VOCABULARY = 100_000
-CHARACTERS = 2_000
-BEAM = 24
+VOCABULARY = 100_000  # pieces of clean text in the model: the most frequent ones
+BEAM = 200  # open words kept at each place of the search for lost bytes
+RARE = 5e-6  # share of all pieces below which a word counts as unknown
 LOST = "\ufffd"
-_CONTROL = regex.compile("[\x80-\x9f]")
+_CONTROL = re.compile("[\x80-\x9f]")
 _PIECE = regex.compile(r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\x00-\x7F]")
+_SIGN = regex.compile(r"[^\p{L}\p{M}\p{N}\x00-\x7F]")
+_SPACES = re.compile(r"([ \t\r\n]+)")
 
 
-def misread(byte: int, codec: str) -> str | None:
+def misread(byte: int, codec: str) -> str:
     """The character as which ``codec`` reads a byte; bytes it leaves undefined come out as C1 controls."""
     try:
         return bytes([byte]).decode(codec)
@@ -34,61 +39,101 @@ def garble(text: str, codec: str) -> str:
     return "".join(misread(b, codec) for b in text.encode())
 
 
-@lru_cache(maxsize=1)
-def suspicious_pattern() -> str:
-    """A pattern, for Java as well, of what clean text hardly holds: C1 controls, replacement characters, and complete
-    UTF-8 sequences as one of the encodings misreads them."""
-    def group(codec: str, values) -> str:
-        return "[" + "".join(f"\\x{{{ord(misread(b, codec)):x}}}" for b in values) + "]"
+def _class(codec: str, values) -> str:
+    return "[" + "".join(re.escape(misread(b, codec)) for b in values) + "]"
+
 
-    parts = [r"[\x{80}-\x{9f}\x{fffd}]"]
+@lru_cache(maxsize=1)
+def suspicious() -> re.Pattern:
+    """What clean text hardly holds: C1 controls, replacement characters, and complete UTF-8 sequences as one of the
+    encodings misreads them."""
+    parts = [f"[\x80-\x9f{LOST}]"]
     for codec in CODECS:
-        tail = group(codec, (b for b in range(0x80, 0xC0) if misread(b, codec) not in "ёЁ"))
+        tail = _class(codec, (b for b in range(0x80, 0xC0) if misread(b, codec) not in "ёЁ"))
         # two-byte leads of Latin, Greek, Cyrillic and Arabic letters
-        lead = group(codec, [*range(0xC2, 0xC6), *range(0xCE, 0xD2), 0xD8, 0xD9])
-        parts += [lead + tail, group(codec, range(0xE0, 0xF0)) + tail + "{2}", group(codec, range(0xF0, 0xF5)) + tail + "{3}"]
-    return "(?=[^\\x00-\\x7f])(?:" + "|".join(parts) + ")"  # places with an ASCII character are passed over at once
+        lead = _class(codec, [*range(0xC2, 0xC6), *range(0xCE, 0xD2), 0xD8, 0xD9])
+        parts += [lead + tail, _class(codec, range(0xE0, 0xF0)) + tail + "{2}", _class(codec, range(0xF0, 0xF5)) + tail + "{3}"]
+    return re.compile("|".join(parts))
+
+
+@lru_cache(maxsize=1)
+def _sequences() -> dict[str, tuple[re.Pattern, dict[int, int]]]:
+    """For each encoding what a complete UTF-8 sequence looks like in it, and its characters' bytes, for ``translate``."""
+    out = {}
+    for codec in CODECS:
+        tail = _class(codec, range(0x80, 0xC0))
+        shape = f"{_class(codec, range(0xC2, 0xE0))}{tail}|{_class(codec, range(0xE0, 0xF0))}{tail}{{2}}|{_class(codec, range(0xF0, 0xF5))}{tail}{{3}}"
+        out[codec] = re.compile(shape), {ord(misread(b, codec)): b for b in range(0x80, 0x100)}
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def _kind(char: str) -> str:
+    """What stands beside a symbol: digit, Latin letter (a), other letter or mark (b), space or other."""
+    category = unicodedata.category(char)
+    if category[0] in "LMN" and category != "Nd":
+        return "a" if char < "\u0250" or "LATIN" in unicodedata.name(char, "") else "b"
+    return "d" if category == "Nd" else "s" if char.isspace() else "o"
+
+
+@lru_cache(maxsize=1 << 16)
+def _script(char: str) -> str:
+    """The first word of the name of a letter or mark, which names its script; signs have none. Kana and Han count as one."""
+    if unicodedata.category(char)[0] not in "LM":
+        return ""
+    word = unicodedata.name(char, "?").split()[0].split("-")[0]
+    return "CJK" if word in ("HIRAGANA", "KATAKANA", "CJK") else word
 
 
 class Restorer:
-    """Noisy-channel decoder: a lattice of misread byte sequences, with wildcards for lost bytes, searched by Viterbi.
+    """Noisy-channel decoder of garbled text under the frequencies of the words and symbols of clean text.
+
+    Spans whose bytes are all there are encoded back first, as a whole and in one encoding, whatever characters they stand for. What stays
+    damaged goes through a lattice of misread byte sequences, with wildcards for lost bytes, searched by Viterbi: each character seen in
+    clean text has its garbled forms, read in each encoding, twice in the same, with the C1 controls dropped, and as lost
+    bytes. A path through a token takes each character either as it stands or as part of such a form; the best path is the most
+    probable original, by the words and symbols it yields and a fixed cost for each damaged character.
 
-    ``pieces`` counts words and symbols of clean text, symbols also by the kind of their neighbours. Each character seen there has its garbled forms: read in each
-    encoding, twice in the same, with the C1 controls dropped, and as lost bytes. A path through a token takes each character either as
-    it stands or as part of such a form; the best path is the most probable original, by the frequencies of the words and
-    symbols it yields and a fixed cost for each damaged character.
+    ``pieces`` counts words and symbols of clean text, symbols also by the kind of their neighbours.
     """
 
     COST, WILD, UNKNOWN = 3.0, 4.0, 2.5
+    COMPLETE = 4.0  # gain for each complete sequence that is explained
     SWITCH = 8.0  # for reading a token, or a whole text, in another single-byte encoding
 
-    def __init__(self, pieces: dict[str, int]):
+    def __init__(self, pieces: dict[str, int], beam: int = BEAM):
         total = sum(pieces.values()) + 1
+        self.beam = beam
         self.log = {p: math.log(n / total) for p, n in pieces.items()}
         self.floor = -math.log(total) - 1.5
+        self.rare = math.log(max(RARE, 1.5 / total))
         self.words = sorted(p for p in pieces if p[0] != "\0")
-        letters: dict[str, int] = {}
+        self.letters: dict[str, int] = {}
+        self.pairs: set[str] = set()  # neighbouring letters, not both ASCII, of known words
         for p, n in pieces.items():
-            for c in p if p[0] != "\0" else "":
-                if not c.isascii():
-                    letters[c] = letters.get(c, 0) + n
-                    if len(c.upper()) == 1 and c.upper() != c:
-                        letters[c.upper()] = letters.get(c.upper(), 0) + max(1, n // 20)
-        known = sorted(letters, key=lambda c: (-letters[c], c))[:CHARACTERS]
+            if p[0] != "\0" and not p.isascii():
+                for c in p:
+                    if not c.isascii():
+                        self.letters[c] = self.letters.get(c, 0) + n
+                        if len(c.upper()) == 1 and c.upper() != c:
+                            self.letters[c.upper()] = self.letters.get(c.upper(), 0) + max(1, n // 20)
+                if self.log[p] >= self.rare:
+                    self.pairs.update(a + b for a, b in zip(p, p[1:]) if not (a.isascii() and b.isascii()))
         self.forms: dict[str, list[tuple[str, float]]] = {}
         seen = set()
-        for c in known:
+        for c in sorted(self.letters, key=lambda c: (-self.letters[c], c)):
             if _CONTROL.match(c) or c == LOST:
                 continue
-            whole = {}
+            whole: dict[str, float] = {}
             for codec in CODECS:
                 once = garble(c, codec)
                 twice = garble(once, codec)
                 for form, cost in ((once, self.COST), (twice, self.COST + 1)):
+                    bare = _CONTROL.sub("", form)
                     whole.setdefault(form, cost)
-                    whole.setdefault(_CONTROL.sub("", form), self.WILD if form != _CONTROL.sub("", form) else cost)
+                    whole.setdefault(bare, self.WILD if form != bare else cost)
                     whole.setdefault(form.rstrip("\xa0"), self.WILD)  # a no-break space may have become an ordinary one
-                    whole.setdefault(regex.sub("[\x80-\x9f]", LOST, form), self.WILD)
+                    whole.setdefault(_CONTROL.sub(LOST, form), self.WILD)
             for n in range(1, len(c.encode()) + 1):
                 whole.setdefault(LOST * n, self.WILD)
             for form, cost in whole.items():
@@ -100,16 +145,16 @@ class Restorer:
             self.by_first.setdefault(form[0], []).append(form)
         for f in self.by_first.values():
             f.sort(key=len, reverse=True)
-        self.cache: dict[str, tuple[str, int]] = {}
-        self.rare = math.log(5.5 / total)
+        self.cache: dict[str, list[tuple[float, str, int, str]]] = {}
+        self.lattice: dict[str, tuple[str, int]] = {}
+        self.fine: dict[str, bool] = {}
         self.others: dict[str, dict[tuple[str, str], tuple[str, float, bool]]] = {}
 
     def _words_score(self, token: str) -> tuple[float, bool]:
         """(score, whether all are known) of the words and non-ASCII characters of a token."""
         score, known = 0.0, True
         for w in _PIECE.findall(token):
-            found = self.log.get(w.lower())
-            known &= found is not None
+            known &= w.lower() in self.log
             score += self._word(w)
         return score, known
 
@@ -136,16 +181,26 @@ class Restorer:
             self.others[token] = got
         return got
 
+    def _fine(self, token: str) -> bool:
+        """Whether a token holds no rare word of other than ASCII letters."""
+        got = self.fine.get(token)
+        if got is None:
+            got = all(w.isascii() or self.log.get(w.lower(), self.floor) >= self.rare for w in _PIECE.findall(token))
+            if len(self.fine) > 500_000:
+                self.fine.clear()
+            self.fine[token] = got
+        return got
+
     def reread(self, tokens: list[str]) -> list[str]:
         """The tokens after reading single-byte text that was decoded in another single-byte encoding.
 
         All non-ASCII tokens are read in one pair of encodings if that gains enough over the whole text and the words of 0.7 of them become known; else a
         token of unknown words is, if it gains as much and all its words become known.
         """
-        at = [i for i, t in enumerate(tokens) if t and not t.isascii() and LOST not in t]
-        odd = [i for i in at if any(not w.isascii() and self.log.get(w.lower(), self.floor) < self.rare for w in _PIECE.findall(tokens[i]))]
+        odd = [i for i, t in enumerate(tokens) if not t.isascii() and LOST not in t and not self._fine(t)]
         if not odd:
             return tokens
+        at = [i for i, t in enumerate(tokens) if t and not t.isascii() and LOST not in t]
         pairs = {p for i in odd for p in self._swapped(tokens[i])}
         gain = {p: sum(self._swapped(tokens[i]).get(p, ("", -self.SWITCH, False))[1] for i in at) for p in pairs} if len(at) > 2 else {}
         best = max(gain, key=lambda p: (gain[p], p), default=None)
@@ -155,25 +210,17 @@ class Restorer:
             if whole:
                 found = self._swapped(tokens[i]).get(best)
             else:
-                fit = [x for x in self._swapped(tokens[i]).values() if x[2] and x[1] > self.SWITCH] if not self._words_score(tokens[i])[1] else []
+                fit = [x for x in self._swapped(tokens[i]).values() if x[2] and x[1] > self.SWITCH and self._odd(tokens[i], x[0])] if not self._words_score(tokens[i])[1] else []
                 found = max(fit, key=lambda x: (x[1], x[0]), default=None)
             if found:
                 out[i] = found[0]
         return out
 
-    def _complete(self, s: str, at: int) -> Iterator[tuple[int, str]]:
-        """Complete UTF-8 sequences at a place, in any encoding, whatever the character they stand for."""
-        for codec in CODECS:
-            try:
-                lead = s[at].encode(codec)[0]
-                need = 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
-                if need and at + need <= len(s):
-                    raw = b"".join(x.encode(codec) if not "\x80" <= x <= "\x9f" else bytes([ord(x)]) for x in s[at : at + need])
-                    char = raw.decode("utf-8")
-                    if len(char) == 1:
-                        yield need, char
-            except (UnicodeError, IndexError):
-                continue
+    @staticmethod
+    def _odd(token: str, read: str) -> bool:
+        """Whether a token alone gives reason to read it otherwise: two characters or more change, or one that is no letter inside a word."""
+        changed = [i for i, (a, b) in enumerate(zip(token, read)) if a != b]
+        return len(changed) > 1 or any(_kind(token[i]) not in "ab" and _kind(read[i]) in "ab" for i in changed)
 
     def _word(self, w: str) -> float:
         if not w:
@@ -185,6 +232,112 @@ class Restorer:
             return self.floor
         return self.floor - self.UNKNOWN * sum(not c.isascii() for c in w)
 
+    def _unseen(self, s: str, at: int) -> bool:
+        """Whether the characters at a place and after it never stand side by side in clean text."""
+        a, b = s[at], s[at + 1]
+        if "\x80" <= a <= "\x9f" or "\x80" <= b <= "\x9f":
+            return True
+        ka, kb = _kind(a), _kind(b)
+        if ka in "ab" and kb in "ab":
+            return (a + b).lower() not in self.pairs
+        for word in (regex.search(r"[\p{L}\p{M}\p{N}]*\Z", s[: at + 1])[0] if not a.isascii() else "", regex.match(r"[\p{L}\p{M}\p{N}]*", s, pos=at + 1)[0] if not b.isascii() else ""):
+            if word and word.lower() not in self.log:
+                return True
+        before = _kind(s[at - 1]) if at else "s"
+        after = _kind(s[at + 2]) if at + 2 < len(s) else "s"
+        return (ka in "os" and not a.isascii() and "\0" + before + a + kb not in self.log) or (kb in "os" and not b.isascii() and "\0" + ka + b + after not in self.log)
+
+    def encoded_back(self, token: str, codec: str) -> tuple[str, int]:
+        """(token, their number) after putting the character for each complete UTF-8 sequence misread in ``codec``.
+
+        A sequence of which all neighbours are seen in clean text stays. A character that clean text lacks is put only if it is a Latin letter or
+        a common sign, or if another letter of the token is of its script and no letter but ASCII ones is of another.
+        """
+        shape, bytes_of = _sequences()[codec]
+        parts, last, put = [], 0, []
+        for m in shape.finditer(token):
+            if not any(self._unseen(token, at) for at in range(m.start(), m.end() - 1)):
+                continue
+            try:
+                char = bytes(m.group().translate(bytes_of).encode("latin-1")).decode()
+            except UnicodeError:
+                continue
+            parts += [token[last : m.start()], char]
+            put.append(char)
+            last = m.end()
+        if not put:
+            return token, 0
+        text = "".join([*parts, token[last:]])
+        scripts = Counter(_script(c) for c in text if not c.isascii())
+        latin = any(c.isascii() and c.isalpha() for c in text)
+        for c in put:
+            script = _script(c)
+            if c in self.letters or c.lower() in self.letters or script in ("LATIN", "COMBINING") or c < "\xc0" or "\u02b0" <= c < "\u0370" or not script and ("\u2000" <= c < "\u3040" or c >= "\U0001f000"):
+                continue
+            if not script or scripts[script] < 2 or (latin and script != "CJK" and scripts[script] < 4) or set(scripts) - {script, "", "COMBINING"}:
+                return token, 0
+        return text, len(put)
+
+    def _value(self, text: str, put: int) -> float:
+        return self._words_score(text)[0] + self.COMPLETE * put - sum(a.islower() and b.isupper() for a, b in zip(text, text[1:]))
+
+    def options(self, token: str) -> list[tuple[float, str, int, str]]:
+        """(value, text, restored characters, encoding) of the ways to encode a token back, from the best value on; the token itself among them."""
+        got = self.cache.get(token)
+        if got is None:
+            found = {token: (self._value(token, 0), 0, "")}
+            todo = [(token, 0, "", 0, 0.0)]
+            while todo:
+                text, put, first, depth, mixed = todo.pop()
+                if depth == 3 or text.isascii() or (self._words_score(text)[1] and not _CONTROL.search(text)):
+                    continue  # text may have been misread up to three times
+                for codec in CODECS:
+                    new, k = self.encoded_back(text, codec)
+                    other = mixed + (self.COMPLETE - 1) * (bool(first) and codec != first)  # misread twice, in two encodings, is rare
+                    value = self._value(new, put + k) - other
+                    if k and (new not in found or value > found[new][0]):
+                        found[new] = value, put + k, first or codec
+                        todo.append((new, put + k, first or codec, depth + 1, other))
+            got = sorted(((value, text, k, codec) for text, (value, k, codec) in found.items()), key=lambda x: (-x[0], x[1]))[:6]
+            if len(self.cache) > 200_000:
+                self.cache.clear()
+            self.cache[token] = got
+        return got
+
+    def restore(self, token: str, votes: Counter | None = None) -> tuple[str, int]:
+        """(original, number of damaged characters) of a token without spaces; of nearly equal options the one in the encoding with most ``votes``."""
+        found = self.options(token)
+        value, now, n, codec = found[0]
+        if votes and len(found) > 1:
+            value, now, n, codec = max((x for x in found if x[0] >= value - 2), key=lambda x: (votes[x[3]] if x[3] else 0, x[0]))
+        if n and not self.suspect(now):
+            return now, n
+        got, k = self._searched(now)
+        if n and not self._words_score(got)[1]:  # with bytes lost, what seemed whole may not have been
+            other, m = self._searched(token)
+            if m and self._words_score(other)[0] > self._words_score(got)[0]:
+                return other, m
+        return got, k + n
+
+    def _searched(self, token: str) -> tuple[str, int]:
+        got = self.lattice.get(token)
+        if got is None:
+            got = self._viterbi(token) if self.suspect(token) else (token, 0)
+            if LOST in token and not self._words_score(got[0])[1]:
+                got = token, 0  # nothing known comes out: the lost characters stay lost
+            if len(self.lattice) > 200_000:
+                self.lattice.clear()
+            self.lattice[token] = got
+        return got
+
+    def suspect(self, token: str) -> bool:
+        """Whether something of a token may be what a damaged character has become: lost bytes, controls, or a form that is no part of clean text."""
+        if LOST in token or _CONTROL.search(token):
+            return True
+        if all(w.lower() in self.log for w in _PIECE.findall(token)) and not any(self._unseen(token, at) for at in range(len(token) - 1) if not token[at : at + 2].isascii()):
+            return any(len(w) == 1 and not w.isascii() and w in self.forms for w in _PIECE.findall(token))
+        return any(c in self.by_first for c in token if not c.isascii())
+
     def _hope(self, w: str) -> float:
         """Guides the beam: a prefix that no known word has will cost about as much as an unknown word."""
         if not w or w[0] == "\0":
@@ -193,10 +346,6 @@ class Restorer:
         at = bisect_left(self.words, low)
         return -7.0 if at < len(self.words) and self.words[at].startswith(low) else self.floor - 1
 
-    @staticmethod
-    def _kind(char: str) -> str:
-        return "d" if char.isdigit() else "a" if char.isalnum() or regex.match(r"\p{M}", char) else "s" if char.isspace() else "o"
-
     def _close(self, word: str, after: str) -> float:
         """Log probability of the word or, after a NUL, the symbol that ends before ``after``."""
         if word.startswith("\0"):
@@ -204,67 +353,76 @@ class Restorer:
             return found if found is not None else min(self.log.get(word[2:], self.floor - self.UNKNOWN) - 3, self.floor)
         return self._word(word)
 
-    def restore(self, token: str) -> tuple[str, int]:
-        """(original, number of damaged characters) of a token without spaces."""
-        got = self.cache.get(token)
-        if got is None:
-            got = self._viterbi(token)
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[token] = got
-        return got
-
-    def suspect(self, token: str) -> bool:
-        return any(c in self.by_first for c in token if not c.isascii())
-
     def _viterbi(self, s: str) -> tuple[str, int]:
         beams: list[dict[str, tuple[float, str, int]]] = [{} for _ in range(len(s) + 1)]
         beams[0][""] = (0.0, "", 0)
 
         def step(to: int, word: str, score: float, text: str, n: int, char: str) -> None:
-            kind = self._kind(char)
-            if kind in "ad" and not word.startswith("\0"):
+            kind = _kind(char)
+            if kind in "abd" and not word.startswith("\0"):
                 word += char
             else:
                 score += self._close(word, kind)
-                word = char if kind in "ad" else "\0" + (self._kind(text[-1]) if text else "s") + char if not char.isascii() else ""
+                word = char if kind in "abd" else "\0" + (_kind(text[-1]) if text else "s") + char if not char.isascii() else ""
             old = beams[to].get(word)
             if old is None or score > old[0]:
                 beams[to][word] = (score, text + char, n)
 
         for at in range(len(s)):
-            states = sorted(beams[at].items(), key=lambda x: -(x[1][0] + self._hope(x[0])))[:BEAM]
+            states = beams[at].items()
+            if len(states) > self.beam:
+                states = sorted(states, key=lambda x: -(x[1][0] + self._hope(x[0])))[: self.beam]
             forms = [f for f in self.by_first.get(s[at], ()) if s.startswith(f, at)]
-            others = [(n, c) for n, c in self._complete(s, at)] if not s[at].isascii() else []
             for word, (score, text, n) in states:
                 step(at + 1, word, score, text, n, s[at])
                 for form in forms:
                     for char, cost in self.forms[form]:
                         step(at + len(form), word, score - cost, text, n + 1, char)
-                for size, char in others:
-                    step(at + size, word, score - self.COST - 1, text, n + 1, char)
+            beams[at] = {}
         best = max(((score + self._close(w, "s"), text, n) for w, (score, text, n) in beams[len(s)].items()), key=lambda x: (x[0], -x[2], x[1]))
         return best[1], best[2]
 
+    def garbled_still(self, token: str) -> int:
+        """Replacement characters, C1 controls and sequences in an unknown word that a misread character may have left."""
+        if token.isascii():
+            return 0
+        n = sum(c == LOST or "\x80" <= c <= "\x9f" for c in token)
+        if n or self._words_score(token)[1]:
+            return n
+        return max(self.encoded_back(token, codec)[1] for codec in CODECS)
+
     def restore_text(self, text: str) -> tuple[str, int, int]:
         """(text with restored spans, restored characters, characters that stay lost)."""
         if text.isascii():
             return text, 0, 0
-        out, n = [], 0
-        tokens = regex.split(r"([ \t\r\n]+)", text)
-        read = self.reread(tokens)
-        for token, other in zip(tokens, read):
-            if other != token and (not self.suspect(token) or not self.restore(token)[1] or self._words_score(other)[0] >= self._words_score(self.restore(token)[0])[0]):
-                out.append(other)
-                n += sum(a != b for a, b in zip(token, other))
-            elif token and not token.isascii() and self.suspect(token):
-                got, k = self.restore(token)
-                out.append(got)
-                n += k
-            else:
+        out, n, lost = [], 0, 0
+        tokens = _SPACES.split(text)
+        votes: Counter = Counter()
+        for token in tokens:
+            if not token.isascii() and len(found := self.options(token)) > 1:
+                votes.update({codec: n for value, _, n, codec in found if codec and value >= found[0][0] - 0.5})
+        for token, other in zip(tokens, self.reread(tokens)):
+            if token.isascii():
                 out.append(token)
-        joined = "".join(out)
-        return joined, n, sum(c == LOST or "\x80" <= c <= "\x9f" for c in joined)
+                continue
+            got, k = self.restore(token, votes)
+            if other != token and (not k or self._words_score(other)[0] >= self._words_score(got)[0]):
+                got, k = other, sum(a != b for a, b in zip(token, other))
+            out.append(got)
+            n += k
+            lost += self.garbled_still(got) if k or got == token and (LOST in got or _CONTROL.search(got)) else 0
+        return "".join(out), n, lost
+
+
+def _pieces_of(text: str) -> list[str]:
+    """Words and symbols of a text in lower case, and each symbol with the kinds of its neighbours: NUL, kind, symbol, kind."""
+    low = text.lower()
+    found = _PIECE.findall(low)
+    if not low.isascii():
+        for m in _SIGN.finditer(low):
+            at = m.start()
+            found.append("\0" + (_kind(low[at - 1]) if at else "s") + low[at] + (_kind(low[at + 1]) if at + 1 < len(low) else "s"))
+    return found
 
 
 def clean_pieces(documents: DataFrame) -> dict[str, int]:
@@ -273,25 +431,24 @@ def clean_pieces(documents: DataFrame) -> dict[str, int]:
     Counted in one pass with partial sums; what is collected is the most frequent ``VOCABULARY`` pieces, a fixed
     bound on a model, not on the documents.
     """
-    text = documents.where(~F.col("text").rlike(suspicious_pattern())).select(F.lower("text").alias("t"))
-    sign = r"[^\p{L}\p{M}\p{N}\x00-\x7F]"
-    words = F.split("t", r"[^\p{L}\p{M}\p{N}]+")
-    signs = F.regexp_extract_all("t", F.lit(sign), F.lit(0))
-    around = F.transform(F.regexp_extract_all("t", F.lit(rf"(?s)(?:^|.){sign}(?:.|$)"), F.lit(0)), _with_kinds)
-    counted = text.select(F.explode(F.concat(words, signs, around)).alias("p")).where("p <> ''").groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        look = suspicious()
+        for frame in frames:
+            for t in frame["text"]:
+                if t.isascii() or not look.search(t):
+                    total.update(_pieces_of(t))
+            if len(total) > 500_000:
+                yield pd.DataFrame({"p": list(total), "n": list(total.values())})
+                total.clear()
+        yield pd.DataFrame({"p": list(total), "n": list(total.values())}, columns=["p", "n"]).astype({"p": "object", "n": "int64"})
+
+    counted = documents.select("text").where("text is not null").mapInPandas(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "p").limit(VOCABULARY).toPandas()
     return dict(zip(top["p"], top["n"].astype(int)))
 
 
-def _with_kinds(found):
-    """NUL, kind of the character before, symbol, kind of the one after; what lacks a neighbour counts as next to a space."""
-    kind = lambda c: F.when(c.rlike(r"^\p{Nd}"), "d").when(c.rlike(r"^[\p{L}\p{M}\p{N}]"), "a").when(c.rlike(r"^\s") | (c == ""), "s").otherwise("o")
-    sign = F.when(F.length(found) == 3, F.substring(found, 2, 1)).when(found.rlike(r"(?s)^.[^\p{L}\p{M}\p{N}\x00-\x7F]$"), F.substring(found, 2, 1)).otherwise(F.substring(found, 1, 1))
-    before = F.when(F.length(found) == 1, "").when((F.length(found) == 3) | found.rlike(r"(?s)^.[^\p{L}\p{M}\p{N}\x00-\x7F]$"), F.substring(found, 1, 1)).otherwise("")
-    after = F.when(F.length(found) == 3, F.substring(found, 3, 1)).when((F.length(found) == 2) & (before == ""), F.substring(found, 2, 1)).otherwise("")
-    return F.concat(F.lit("\0"), kind(before), sign, kind(after))
-
-
 def garbled_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, restored, n_restored, n_lost): the documents whose text holds a sequence left by wrong decoding.
 

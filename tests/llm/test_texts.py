@@ -225,6 +225,44 @@ def restorer():
     return garbled.Restorer(dict(count))
 
 
+@pytest.fixture(scope="module")
+def corpus_restorer(spark, data):
+    """A model of the documents; the sentences below are not among them, and six of their languages are not either."""
+    docs = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    return garbled.Restorer(garbled.clean_pieces(docs))
+
+
+SENTENCES = {
+    "en": "The “naïve” café on the corner — it’s £5 cheaper…",
+    "de": "Die Überweisung wäre für Österreich später möglich, sagte Jürgen Weiß.",
+    "fr": "Où est l’œuvre de l’été ? Ça coûte 12 € à Noël, déjà.",
+    "es": "¿Cuándo volverá el señor Núñez? ¡Mañana!",
+    "pt": "Não há opções: a aplicação não está à mão.",
+    "ru": "Съешь же ещё этих мягких булок, да выпей чаю.",
+    "hi": "मुझे यह पुस्तक बहुत अच्छी लगी।",
+    "sv": "Får jag åka på sjön i går?",
+    "pl": "Zażółć gęślą jaźń, proszę państwa.",
+    "tr": "Şu çalışmayı görmeye başlıyoruz, değil mi?",
+    "el": "Καλημέρα κόσμε, πώς είστε σήμερα;",
+    "ja": "これは日本語の文章です。",
+    "zh": "这是一个中文句子。",
+}
+
+
+@pytest.mark.parametrize("language", SENTENCES)
+def test_whole_sentences_come_back_from_every_encoding(corpus_restorer, language):
+    text = SENTENCES[language]
+    assert corpus_restorer.restore_text(text) == (text, 0, 0)
+    for codec in garbled.CODECS:
+        got, n, lost = corpus_restorer.restore_text(garbled.garble(text, codec))
+        assert (got, lost) == (text, 0) and n, (codec, got)
+
+
+def test_what_stays_garbled_counts_as_lost(corpus_restorer):
+    got, _, lost = corpus_restorer.restore_text("Qw��zx")
+    assert lost > 0 and "�" in got
+
+
 @pytest.mark.parametrize("codec", ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251"])
 @pytest.mark.parametrize("word", ["café", "très", "über", "weiß", "zurück"])
 def test_round_trip(restorer, codec, word):
