@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 # The encodings in which UTF-8 bytes are commonly misread.
 CODECS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp1250", "iso8859_15")
 VOCABULARY = 100_000  # pieces of clean text in the model: the most frequent ones
-BEAM = 200  # open words kept at each place of the search for lost bytes
+BEAM = 50  # open words kept at each place of the search for lost bytes
 RARE = 5e-6  # share of all pieces below which a word counts as unknown
 LOST = "\ufffd"
 _CONTROL = re.compile("[\x80-\x9f]")
@@ -148,6 +148,7 @@ class Restorer:
         self.cache: dict[str, list[tuple[float, str, int, str]]] = {}
         self.lattice: dict[str, tuple[str, int]] = {}
         self.fine: dict[str, bool] = {}
+        self.calm: set[str] = set()
         self.others: dict[str, dict[tuple[str, str], tuple[str, float, bool]]] = {}
 
     def _words_score(self, token: str) -> tuple[float, bool]:
@@ -322,7 +323,9 @@ class Restorer:
     def _searched(self, token: str) -> tuple[str, int]:
         got = self.lattice.get(token)
         if got is None:
-            got = self._viterbi(token) if self.suspect(token) else (token, 0)
+            # of a token whose letters are all lost nothing can be known
+            blank = LOST in token and not any(c.isalnum() for c in token)
+            got = self._viterbi(token) if not blank and self.suspect(token) else (token, 0)
             if LOST in token and not self._words_score(got[0])[1]:
                 got = token, 0  # nothing known comes out: the lost characters stay lost
             if len(self.lattice) > 200_000:
@@ -391,9 +394,20 @@ class Restorer:
             return n
         return max(self.encoded_back(token, codec)[1] for codec in CODECS)
 
+    def plainly_fine(self, text: str) -> bool:
+        """Whether nothing in a text can be changed, told by its tokens, each looked at once."""
+        if text.isascii():
+            return True
+        fresh = set(_tokens(text)) - self.calm
+        odd = {z for z in fresh if not z.isascii() and (self.suspect(z) or not self._fine(z) or len(self.options(z)) > 1)}
+        self.calm |= fresh - odd
+        if len(self.calm) > 1_000_000:
+            self.calm.clear()
+        return not odd
+
     def restore_text(self, text: str) -> tuple[str, int, int]:
         """(text with restored spans, restored characters, characters that stay lost)."""
-        if text.isascii():
+        if self.plainly_fine(text):
             return text, 0, 0
         out, n, lost = [], 0, 0
         tokens = _SPACES.split(text)
@@ -414,9 +428,14 @@ class Restorer:
         return "".join(out), n, lost
 
 
-def _pieces_of(text: str) -> list[str]:
-    """Words and symbols of a text in lower case, and each symbol with the kinds of its neighbours: NUL, kind, symbol, kind."""
-    low = text.lower()
+def _tokens(text: str) -> list[str]:
+    """The tokens between ordinary spaces, tabs and line ends, some of them empty."""
+    return text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
+
+
+def _pieces_of(token: str) -> list[str]:
+    """Words and symbols of a token in lower case, and each symbol with the kinds of its neighbours: NUL, kind, symbol, kind."""
+    low = token.lower()
     found = _PIECE.findall(low)
     if not low.isascii():
         for m in _SIGN.finditer(low):
@@ -433,16 +452,32 @@ def clean_pieces(documents: DataFrame) -> dict[str, int]:
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
-        look = suspicious()
+        total: Counter = Counter()  # of tokens, which are cut into pieces once each
+        look, seen, bad = suspicious(), set(), set()
+
+        def counted() -> pd.DataFrame:
+            pieces: Counter = Counter()
+            for token, n in total.items():
+                for piece in _pieces_of(token):
+                    pieces[piece] += n
+            total.clear()
+            return pd.DataFrame({"p": list(pieces), "n": list(pieces.values())}, columns=["p", "n"]).astype({"p": "object", "n": "int64"})
+
         for frame in frames:
             for t in frame["text"]:
-                if t.isascii() or not look.search(t):
-                    total.update(_pieces_of(t))
+                tokens = _tokens(t)
+                if not t.isascii():
+                    fresh = set(tokens) - seen
+                    bad.update(z for z in fresh if not z.isascii() and look.search(z))
+                    seen |= fresh
+                    if not bad.isdisjoint(tokens):
+                        continue
+                total.update(tokens)
+            if len(seen) > 1_000_000:
+                seen, bad = set(), set()
             if len(total) > 500_000:
-                yield pd.DataFrame({"p": list(total), "n": list(total.values())})
-                total.clear()
-        yield pd.DataFrame({"p": list(total), "n": list(total.values())}, columns=["p", "n"]).astype({"p": "object", "n": "int64"})
+                yield counted()
+        yield counted()
 
     counted = documents.select("text").where("text is not null").mapInPandas(count, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "p").limit(VOCABULARY).toPandas()

@@ -182,6 +182,20 @@ def test_leaks_match_brute_force(spark):
     assert leaks.leaked_items(docs_df.limit(0), items_df).count() == 0
 
 
+def test_repeated_item_ids_and_shards(spark):
+    words = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(words[:14])), (1, " ".join(words[10:22])), (2, " ".join(words[20:35])), (3, "a b"), (4, " ".join(reversed(words[:12])))]
+    docs = [(1, " ".join(words[:22]), "x"), (2, " ".join(words), "x"), (3, " ".join(words[:9]), "x")]
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string, runs string")
+    items_df = spark.createDataFrame([(*i, "W20" if i[0] == 1 else "w99" if i[0] == 2 else None) for i in items], "item_id long, text string, answer string")
+    want = {(1, 1, 8, 8), (1, 2, 8, 8), (2, 2, 6, 6)}
+    for most in (100, 2):
+        found = leaks.leaked_items(docs_df, items_df, shard_items=most)
+        assert {tuple(r) for r in found.collect()} == want
+    got = {(r.item_id, r.doc_id): r.answer_found for r in leaks.with_answers(found, docs_df, items_df, "answer").collect()}
+    assert got == {(1, 1): True, (1, 2): True, (2, 2): False}
+
+
 def test_wand_retrieves_all_above_threshold():
     rng = random.Random(6)
     items = [(i, " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(25))) for i in range(120)]
@@ -259,8 +273,9 @@ def test_whole_sentences_come_back_from_every_encoding(corpus_restorer, language
 
 
 def test_what_stays_garbled_counts_as_lost(corpus_restorer):
-    got, _, lost = corpus_restorer.restore_text("Qw��zx")
-    assert lost > 0 and "�" in got
+    for text in ("Qw��zx", "so �����, it"):
+        got, _, lost = corpus_restorer.restore_text(text)
+        assert lost > 0 and "�" in got
 
 
 @pytest.mark.parametrize("codec", ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251"])
