@@ -11,17 +11,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import words_of
+from ..session import materialize
+from .words import words, words_of
 
 K1, B = 1.2, 0.75
 BLOCK = 16
 PASSAGE = 40
-SHARD_ITEMS = 20_000
+SHARD_ITEMS = 20_000  # items of one index, which is broadcast
 
 
 @dataclass
 class ItemIndex:
-    """Inverted index of the items: postings with BM25 impacts, cut into blocks with their largest impact."""
+    """Inverted index of the items: postings with BM25 impacts, cut into blocks with their largest impact.
+
+    ``masks`` has a bit for each ``BLOCK`` neighbouring items in which a term occurs.
+    """
 
     ids: list[int]
     run: int
@@ -30,7 +34,7 @@ class ItemIndex:
     need: list[float]
     least: float
     grams: list[set]
-    size: list[int]
+    masks: dict[str, int]
 
     @classmethod
     def build(cls, items: list[tuple[int, str]], run: int) -> "ItemIndex":
@@ -54,7 +58,13 @@ class ItemIndex:
         for t, p in lists.items():
             at, w = [x for x, _ in p], [y for _, y in p]
             postings[t] = (at, w, at[BLOCK - 1 :: BLOCK] + ([at[-1]] if len(at) % BLOCK else []), [max(w[s : s + BLOCK]) for s in range(0, len(w), BLOCK)])
-        return cls([i for i, _ in bags], run, postings, {t: max(p[3]) for t, p in postings.items()}, need, min(need, default=np.inf), grams, [len(w) for _, w in bags])
+        masks = {}
+        for t, p in postings.items():
+            bits = 0
+            for at in p[0]:
+                bits |= 1 << (at // BLOCK)
+            masks[t] = bits
+        return cls([i for i, _ in bags], run, postings, {t: max(p[3]) for t, p in postings.items()}, need, min(need, default=np.inf), grams, masks)
 
     def retrieve(self, terms: set[str]) -> list[int]:
         """Items whose score for the query ``terms`` reaches their threshold: block-max WAND."""
@@ -115,64 +125,99 @@ class ItemIndex:
             cursors = alive
         return out
 
-    def _stretches(self, w: list[str]) -> Iterator[list[str]]:
-        """The stretches of at least ``run`` words that all have postings; no other words can be part of a run."""
+    def _stretches(self, w: list[str]) -> Iterator[tuple[int, int]]:
+        """(start, end) of the stretches of words that can hold a run: in each ``run`` of their words, all occur in one block of items."""
+        masks, run = [self.masks.get(t, 0) for t in w], self.run
         start = 0
-        for i, t in enumerate(w):
-            if t not in self.top:
-                if i - start >= self.run:
-                    yield w[start:i]
-                start = i + 1
-        if len(w) - start >= self.run:
-            yield w[start:]
+        for i, mask in enumerate([*masks, 0]):
+            if mask:
+                continue
+            if i - start >= run:
+                # common blocks of 1, 2, 4, ... words from each place on, up to a run
+                common, width = masks[start:i], 1
+                while width < run:
+                    step = min(width, run - width)
+                    common = [x & y for x, y in zip(common, common[step:])]
+                    width += step
+                first = None
+                for at, x in enumerate([*common, 0]):
+                    if x and first is None:
+                        first = at
+                    elif not x and first is not None:
+                        yield start + first, start + at - 1 + run
+                        first = None
+            start = i + 1
+
+    def sizes(self) -> dict[int, int]:
+        """Item id -> number of its distinct runs; texts with the same id count together."""
+        every: dict[int, set] = {}
+        for i, g in zip(self.ids, self.grams):
+            every.setdefault(i, set()).update(g)
+        return {i: len(g) for i, g in every.items()}
 
     def leaks_of(self, text: str) -> dict[int, int]:
         """Item id -> number of its distinct runs that the text holds, for items with at least one."""
         out: dict[int, set] = {}
-        for stretch in self._stretches(words_of(text)):
-            for s in range(0, len(stretch) - self.run + 1, PASSAGE - self.run + 1):
-                part = stretch[s : s + PASSAGE]
+        w = words_of(text)
+        for start, end in self._stretches(w):
+            for s in range(start, end - self.run + 1, PASSAGE - self.run + 1):
+                part = w[s : min(end, s + PASSAGE)]
                 hits = self.retrieve(set(part))
                 if hits:
                     runs = {tuple(part[j : j + self.run]) for j in range(len(part) - self.run + 1)}
                     for item in hits:
                         both = runs & self.grams[item]
                         if both:
-                            out.setdefault(item, set()).update(both)
-        return {self.ids[i]: len(r) for i, r in out.items()}
+                            out.setdefault(self.ids[item], set()).update(both)
+        return {i: len(r) for i, r in out.items()}
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, run: int = 10) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, run: int = 10, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """(item_id, doc_id, runs, item_runs): documents that hold at least ``run`` consecutive words of an item.
 
     ``runs`` of the item's ``item_runs`` distinct runs of ``run`` words were found. Items are indexed with BM25 impacts; the whole text of
-    every document, as far as its words have postings, is cut into passages of 40 words that overlap by ``run`` - 1, each passage queries the index by
+    every document is cut into passages of 40 words that overlap by ``run`` - 1, each passage queries the index by
     block-max WAND, and all items above their threshold are compared run by run. An item's threshold is
-    the least score of its own runs, so no passage that holds one is missed. Documents are only scanned, never
-    shuffled. The index is broadcast in shards of at most 20,000 items.
+    the least score of its own runs, so no passage that holds one is missed. Passages are left out where no block of items has all words of
+    any run, as then no item has. Documents are only scanned, never shuffled.
+
+    An index of at most ``shard_items`` items is broadcast. More items are indexed one shard after the other, each with a scan of its own, whose
+    result is written before the next index is built, so one index at a time is held.
 
     Null texts and ids, and items of fewer than ``run`` words, give no row. Repeated documents each give their rows;
-    of items with the same id the runs count together.
+    of items with the same id the distinct runs count together.
     """
     spark = documents.sparkSession
     source = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id is not null and item_text is not null")
-    shards = max(1, -(-source.count() // SHARD_ITEMS))
+    shards = max(1, -(-source.count() // shard_items))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     out = None
     for s in range(shards):
         part = source.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == s).toPandas()
         index = ItemIndex.build(list(zip(part["item_id"], part["item_text"])), run)
-        shared = spark.sparkContext.broadcast(index)
-        sizes = {}
-        for i, g in zip(index.ids, index.grams):
-            sizes[i] = sizes.get(i, 0) + len(g)
-        counted = spark.sparkContext.broadcast(sizes)
+        shared = spark.sparkContext.broadcast((index, index.sizes()))
 
-        def scan(frames: Iterator[pd.DataFrame], shared=shared, counted=counted) -> Iterator[pd.DataFrame]:
+        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            index, sizes = shared.value
             for frame in frames:
-                rows = [(i, d, n, counted.value[i]) for d, t in zip(frame["doc_id"], frame["text"]) for i, n in shared.value.leaks_of(t).items()]
+                rows = [(i, d, n, sizes[i]) for d, t in zip(frame["doc_id"], frame["text"]) for i, n in index.leaks_of(t).items()]
                 yield pd.DataFrame(rows, columns=["item_id", "doc_id", "runs", "item_runs"]).astype("int64")
 
         found = docs.mapInPandas(scan, "item_id long, doc_id long, runs long, item_runs long")
+        if shards > 1:
+            found = materialize(found)
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return out.groupBy("item_id", "doc_id").agg(F.max("runs").alias("runs"), F.max("item_runs").alias("item_runs"))
+
+
+def with_answers(leaks: DataFrame, documents: DataFrame, items: DataFrame, answer: str) -> DataFrame:
+    """``leaks`` and ``answer_found``: whether the document holds the words of the item's column ``answer``, next to each other, too.
+
+    Items without a word in it have null; of several rows with one id any counts.
+    """
+    joined = lambda c: F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
+    said = documents.select(F.col("doc_id").cast("long").alias("doc_id"), joined(F.col("text")).alias("said"))
+    want = items.select(F.col("item_id").cast("long").alias("item_id"), joined(F.col(answer)).alias("want")).where("want <> '  '").distinct()
+    found = leaks.join(want, "item_id", "left").join(said, "doc_id").select(*[leaks[c] for c in leaks.columns], F.expr("case when want is not null then position(want in said) > 0 end").alias("hit"))
+    return found.groupBy(*leaks.columns).agg(F.max("hit").alias("answer_found"))
