@@ -48,6 +48,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alike_pairs(_texts(spark, sf_dir))
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.look_alike_classes(_texts(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.similarity_clusters(_table(spark, sf_dir, "embedding_cache"))
 
@@ -78,7 +82,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_item"))
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_item")
+    return leaks.with_answers(leaks.leaked_items(docs, items), docs, items, "expected_theme")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +104,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p1_found, p2_found, p2_redacted, p3_found, p4_found, p4_report, p5_found, p5_counts, p6_found, p6_segments, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_restored)
+    every = (p1_found, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_report, p5_found, p5_counts, p6_found, p6_segments, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_restored)
     return {f.__name__: f for f in every}
 
 
@@ -129,12 +134,20 @@ def oracle_sql() -> dict[str, str]:
           with t as (select 'raw_review' as tbl, seq, body as text from raw_review union all select 'clean_review', seq, text from clean_review),
           m as (select tbl, seq, text, {form} as form from t where text is not null)
           select distinct a.tbl, a.seq as row_a, b.seq as row_b from m a join m b on a.tbl = b.tbl and a.form = b.form and a.seq < b.seq and a.text <> b.text""",
+        "p3_classes": f"""
+          with t as (select 'raw_review' as tbl, seq, body as text from raw_review union all select 'clean_review', seq, text from clean_review),
+          m as (select tbl, seq, text, {form} as form from t where text is not null),
+          k as (select tbl, form, min(seq) as class_id, count(*) as class_rows, count(distinct text) as class_texts from m group by 1, 2 having count(distinct text) > 1)
+          select tbl, seq as row_id, class_id, class_rows, class_texts from m join k using (tbl, form)""",
         "p4_found": f"""
           with recursive {unit}, e as (select a, b from c where cos >= 0.75), r as (select a, a as b from e union select r.a, e.b from r join e on r.b = e.a),
           k as (select a as cache_id, min(b) as cluster_key from r group by 1)
           select cluster_key, cache_id from k where cluster_key in (select cluster_key from k group by 1 having count(*) >= 5)""",
         "p7_found": f"{leaked} select distinct item_id, doc_id from a join b using (run)",
-        "p7_report": f"{leaked}, n as (select item_id, count(*) as item_runs from a group by 1) select item_id, doc_id, count(*) as runs, max(item_runs) as item_runs from a join b using (run) join n using (item_id) group by 1, 2",
+        "p7_report": f"""{leaked}, n as (select item_id, count(*) as item_runs from a group by 1),
+          l as (select item_id, doc_id, count(*) as runs, max(item_runs) as item_runs from a join b using (run) join n using (item_id) group by 1, 2)
+          select l.*, contains(' ' || array_to_string({item_words.replace('text', 'd.text')}, ' ') || ' ', ' ' || array_to_string({item_words.replace('text', 'e.expected_theme')}, ' ') || ' ') as answer_found
+          from l join documents d using (doc_id) join eval_item e using (item_id)""",
         "p5_found": f"{sets} select keep as keep_seq, seq as copy_seq from g where n > 0 and seq <> keep",
         "p5_counts": f"{sets} select seq, review_id, case when n > 0 then c else 1 end as n_copies from g where seq = keep or n = 0",
     }
