@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -149,6 +150,7 @@ class Restorer:
         self.lattice: dict[str, tuple[str, int]] = {}
         self.fine: dict[str, bool] = {}
         self.calm: set[str] = set()
+        self.scores: dict[str, float] = {}
         self.others: dict[str, dict[tuple[str, str], tuple[str, float, bool]]] = {}
 
     def _words_score(self, token: str) -> tuple[float, bool]:
@@ -163,7 +165,7 @@ class Restorer:
         """For each pair (encoding read in, true encoding): the token's reading, what it gains in score, whether its words are all known."""
         got = self.others.get(token)
         if got is None:
-            got, now = {}, self._words_score(token)[0]
+            got, now, scores = {}, self._words_score(token)[0], {}
             for read in CODECS:
                 try:
                     raw = token.encode(read)
@@ -175,7 +177,9 @@ class Restorer:
                     except UnicodeDecodeError:
                         continue
                     if text != token and not _CONTROL.search(text):
-                        score, known = self._words_score(text)
+                        if text not in scores:
+                            scores[text] = self._words_score(text)
+                        score, known = scores[text]
                         got[read, true] = text, score - now, known
             if len(self.others) > 50_000:
                 self.others.clear()
@@ -203,7 +207,11 @@ class Restorer:
             return tokens
         at = [i for i, t in enumerate(tokens) if t and not t.isascii() and LOST not in t]
         pairs = {p for i in odd for p in self._swapped(tokens[i])}
-        gain = {p: sum(self._swapped(tokens[i]).get(p, ("", -self.SWITCH, False))[1] for i in at) for p in pairs} if len(at) > 2 else {}
+        gain = dict.fromkeys(pairs, 0.0) if len(at) > 2 else {}
+        for i, n in Counter(tokens[i] for i in at).items() if gain else ():
+            got = self._swapped(i)
+            for p in pairs:
+                gain[p] += n * (got[p][1] if p in got else -self.SWITCH)
         best = max(gain, key=lambda p: (gain[p], p), default=None)
         out = list(tokens)
         whole = best is not None and gain[best] > self.SWITCH * 2 and sum(self._swapped(tokens[i]).get(best, ("", 0, False))[2] for i in at) >= 0.7 * len(at)
@@ -224,14 +232,14 @@ class Restorer:
         return len(changed) > 1 or any(_kind(token[i]) not in "ab" and _kind(read[i]) in "ab" for i in changed)
 
     def _word(self, w: str) -> float:
-        if not w:
-            return 0.0
-        found = self.log.get(w.lower())
-        if found is not None:
-            return found
-        if w.isascii():
-            return self.floor
-        return self.floor - self.UNKNOWN * sum(not c.isascii() for c in w)
+        got = self.scores.get(w)
+        if got is None:
+            low = w.lower()
+            got = self.log[low] if low in self.log else self.floor - self.UNKNOWN * sum(not c.isascii() for c in w) if w else 0.0
+            if len(self.scores) > 500_000:
+                self.scores.clear()
+            self.scores[w] = got
+        return got
 
     def _unseen(self, s: str, at: int) -> bool:
         """Whether the characters at a place and after it never stand side by side in clean text."""
@@ -428,6 +436,9 @@ class Restorer:
         return "".join(out), n, lost
 
 
+_MODELS: dict[str, Restorer] = {}  # of this Python worker, which runs many tasks, so that a token is looked at once
+
+
 def _tokens(text: str) -> list[str]:
     """The tokens between ordinary spaces, tabs and line ends, some of them empty."""
     return text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
@@ -495,8 +506,13 @@ def garbled_documents(documents: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     pieces = documents.sparkSession.sparkContext.broadcast(clean_pieces(docs))
 
+    model_key = uuid.uuid4().hex
+
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Restorer(pieces.value)
+        if model_key not in _MODELS:
+            _MODELS.clear()
+            _MODELS[model_key] = Restorer(pieces.value)
+        model = _MODELS[model_key]
         for frame in frames:
             rows = []
             for i, t in zip(frame["doc_id"], frame["text"]):
