@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -66,8 +67,8 @@ class ItemIndex:
             masks[t] = bits
         return cls([i for i, _ in bags], run, postings, {t: max(p[3]) for t, p in postings.items()}, need, min(need, default=np.inf), grams, masks)
 
-    def retrieve(self, terms: set[str]) -> list[int]:
-        """Items whose score for the query ``terms`` reaches their threshold: block-max WAND."""
+    def retrieve(self, terms: set[str], blocks: int = -1) -> list[int]:
+        """Items, in the ``blocks`` whose bits are set, whose score for the query ``terms`` reaches their threshold: block-max WAND."""
         terms = [t for t in terms if t in self.top]
         if sum(self.top[t] for t in terms) < self.least:
             return []
@@ -88,15 +89,20 @@ class ItemIndex:
                 pivot += 1
             # shallow: the blocks in which the item would lie
             ceiling, ends = 0.0, []
-            for c in cursors[: pivot + 1]:
-                last, peak = c[0][2], c[0][3]
-                b = c[1] // BLOCK
-                while b < len(last) and last[b] < item:
-                    b += 1
-                if b < len(last):
-                    ceiling += peak[b]
-                    ends.append(last[b])
-            if ceiling >= self.least:
+            later = blocks >> (item // BLOCK)
+            if not later:
+                break
+            skip = 0 if later & 1 else (item // BLOCK + (later & -later).bit_length() - 1) * BLOCK
+            if not skip:
+                for c in cursors[: pivot + 1]:
+                    last, peak = c[0][2], c[0][3]
+                    b = bisect_left(last, item, c[1] // BLOCK)
+                    if b < len(last):
+                        ceiling += peak[b]
+                        ends.append(last[b])
+            if skip:
+                target = skip
+            elif ceiling >= self.least:
                 if cursors[0][0][0][cursors[0][1]] == item:
                     score, alive = 0.0, []
                     for c in cursors:
@@ -119,14 +125,14 @@ class ItemIndex:
             for i, c in enumerate(cursors):
                 if i <= pivot and c[0][0][c[1]] < target:
                     at = c[0][0]
-                    c[1] = int(np.searchsorted(at, target)) if len(at) > 64 else next((j for j in range(c[1], len(at)) if at[j] >= target), len(at))
+                    c[1] = bisect_left(at, target, c[1])
                 if c[1] < len(c[0][0]):
                     alive.append(c)
             cursors = alive
         return out
 
-    def _stretches(self, w: list[str]) -> Iterator[tuple[int, int]]:
-        """(start, end) of the stretches of words that can hold a run: in each ``run`` of their words, all occur in one block of items."""
+    def _stretches(self, w: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(start, end, blocks) of the stretches of words that can hold a run: any ``run`` of their words occur in one of these blocks of items."""
         masks, run = [self.masks.get(t, 0) for t in w], self.run
         start = 0
         for i, mask in enumerate([*masks, 0]):
@@ -139,13 +145,14 @@ class ItemIndex:
                     step = min(width, run - width)
                     common = [x & y for x, y in zip(common, common[step:])]
                     width += step
-                first = None
+                first, blocks = None, 0
                 for at, x in enumerate([*common, 0]):
-                    if x and first is None:
-                        first = at
-                    elif not x and first is not None:
-                        yield start + first, start + at - 1 + run
-                        first = None
+                    if x:
+                        first = at if first is None else first
+                        blocks |= x
+                    elif first is not None:
+                        yield start + first, start + at - 1 + run, blocks
+                        first, blocks = None, 0
             start = i + 1
 
     def sizes(self) -> dict[int, int]:
@@ -159,10 +166,10 @@ class ItemIndex:
         """Item id -> number of its distinct runs that the text holds, for items with at least one."""
         out: dict[int, set] = {}
         w = words_of(text)
-        for start, end in self._stretches(w):
+        for start, end, blocks in self._stretches(w):
             for s in range(start, end - self.run + 1, PASSAGE - self.run + 1):
                 part = w[s : min(end, s + PASSAGE)]
-                hits = self.retrieve(set(part))
+                hits = self.retrieve(set(part), blocks)
                 if hits:
                     runs = {tuple(part[j : j + self.run]) for j in range(len(part) - self.run + 1)}
                     for item in hits:

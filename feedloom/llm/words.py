@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import regex
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
+_WORD = re.compile(r"[^\W_]+")  # letters and numbers of any script
 
 
 def words(text: Column) -> Column:
