@@ -35,46 +35,57 @@ def multiset_hash(fields: dict[str, Column], seed: int = 0) -> list[Column]:
 def copy_sets(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(keep, copy) for each row that holds the same words equally often, in every field, as an earlier row.
 
-    ``keep`` is the smallest ``key`` of the set. Rows are fingerprinted by ``multiset_hash``, grouped by fingerprint (a count and a
-    minimum, combined before the shuffle) and only rows of groups with several members are looked at again: their
-    fields are compared with those of the group's first row through word counts. Rows that share a fingerprint
-    by accident are grouped once more under other seeds. Rows with a null key or no word in any field belong to no
+    ``keep`` is the smallest ``key`` of the set. Rows are fingerprinted by ``multiset_hash`` and grouped by fingerprint (a count and a
+    minimum, combined before the shuffle). In groups of several members one row of each distinct record, told by two hashes of its fields as
+    they stand, is compared with the group's first row through the word counts of every field. Records that share a fingerprint
+    by accident are grouped once more under other seeds. Nothing is sorted: grouping and joins go by hash tables, of which
+    the smaller side is held; grouped sides are written first, so that a hot fingerprint is split. Rows with a null key or no word in any field belong to no
     set; repeated keys are one row.
     """
     fresh = {f: F.col(f) for f in fields}
     base = rows.select(F.col(key).alias("key"), *fields).where(F.col("key").isNotNull())
+    print_, record = ["n_words", "h1", "h2"], ["e1", "e2"]
     todo, found = base, None
     for seed in range(0, 8, 2):
-        prints = materialize(todo.select("key", *multiset_hash(fresh, seed)).where("n_words > 0"))
-        groups = prints.groupBy("n_words", "h1", "h2").agg(F.min("key").alias("keep"), F.max("key").alias("last")).where("keep <> last")
-        pairs = prints.join(groups.drop("last"), ["n_words", "h1", "h2"]).where("key <> keep").select("key", "keep").distinct()
-        left = base.select("key", *fields)
-        right = base.select(F.col("key").alias("keep"), *[F.col(f).alias(f"{f}__keep") for f in fields])
-        checked = materialize(pairs.join(left, "key").join(right, "keep").mapInPandas(_compare(fields), "keep long, copy long, same boolean"))
-        good = checked.where("same").select("keep", "copy")
-        found = good if found is None else found.unionByName(good)
-        wrong = checked.where("not same").select(F.col("copy").alias("key"))
+        # a null field is marked by its place, so that it isn't taken for the next one
+        stands = [x for f in fields for x in (F.col(f), F.col(f).isNull())]
+        prints = materialize(todo.select("key", *multiset_hash(fresh, seed), F.xxhash64(*stands).alias("e1"), F.xxhash64(*stands, F.lit(1)).alias("e2")).where("n_words > 0"))
+        groups = materialize(prints.groupBy(*print_).agg(F.min("key").alias("keep"), F.max("key").alias("last")).where("keep <> last").drop("last"))
+        members = materialize(prints.join(groups.hint("shuffle_hash"), print_).select("key", "keep", *record).distinct())
+        first = members.where("key = keep").select("keep", *[F.col(c).alias(f"{c}_keep") for c in record])
+        others = members.groupBy("keep", *record).agg(F.min("key").alias("key")).join(first.hint("shuffle_hash"), "keep").where("e1 <> e1_keep or e2 <> e2_keep").select("key", "keep", *record)
+        others = materialize(others)
+        left = base.select("key", *fields).join(others.hint("shuffle_hash"), "key")
+        right = base.select(F.col("key").alias("keep"), *[F.col(f).alias(f"{f}__keep") for f in fields]).join(others.select("keep").distinct().hint("shuffle_hash"), "keep")
+        checked = left.join(right.hint("shuffle_hash"), "keep").mapInPandas(_compare(fields, record), "keep long, e1 long, e2 long")
+        wrong = materialize(checked.distinct())
+        good = members.where("key <> keep").select("keep", F.col("key").alias("copy"), *record)
         if not wrong.limit(1).count():
-            return found.distinct()
-        todo = base.join(wrong.distinct(), "key")
+            good = good.select("keep", "copy")
+            return (good if found is None else found.unionByName(good)).distinct()
+        right_ones = good.join(wrong.hint("shuffle_hash"), ["keep", *record], "left_anti").select("keep", "copy")
+        found = right_ones if found is None else found.unionByName(right_ones)
+        todo = base.join(good.join(wrong.hint("shuffle_hash"), ["keep", *record], "left_semi").select(F.col("copy").alias("key")).distinct().hint("shuffle_hash"), "key")
     raise RuntimeError("fingerprints collide under four seeds")
 
 
-def _compare(fields: list[str]):
-    def same(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compare(fields: list[str], record: list[str]):
+    """The records that don't hold the same words as the first row of their group."""
+
+    def differ(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             ok = pd.Series(True, index=f.index)
             for name in fields:
                 a, b = f[name].fillna(""), f[f"{name}__keep"].fillna("")
                 ok &= pd.Series([x == y or Counter(words_of(x)) == Counter(words_of(y)) for x, y in zip(a, b)], index=f.index, dtype=bool)
-            yield pd.DataFrame({"keep": f["keep"], "copy": f["key"], "same": ok})
+            yield f.loc[~ok, ["keep", *record]]
 
-    return same
+    return differ
 
 
 def collapsed(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """One row per distinct record: all columns of its first row, and ``n_copies``, the size of its set (1 if alone)."""
     sets = materialize(copy_sets(rows, key, fields))
     counts = sets.groupBy(F.col("keep").alias(key)).agg((F.count(F.lit(1)) + 1).alias("n_copies"))
-    first = rows.join(sets.select(F.col("copy").alias(key)), key, "left_anti")
-    return first.join(counts, key, "left").withColumn("n_copies", F.coalesce("n_copies", F.lit(1).cast("long")))
+    first = rows.join(sets.select(F.col("copy").alias(key)).hint("shuffle_hash"), key, "left_anti")
+    return first.join(counts.hint("shuffle_hash"), key, "left").withColumn("n_copies", F.coalesce("n_copies", F.lit(1).cast("long")))

@@ -69,6 +69,12 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapsed(_table(spark, sf_dir, "clean_review"), "seq", ["text"]).select("seq", "review_id", "n_copies")
 
 
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews fetched or posted again: records of three fields, so words only count within their field."""
+    sets = copies.copy_sets(_table(spark, sf_dir, "raw_review"), "seq", ["title", "body", "product"])
+    return sets.select(F.col("keep").alias("keep_seq"), F.col("copy").alias("copy_seq"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.wrong_labels(_table(spark, sf_dir, "raw_review"))
 
@@ -104,7 +110,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p1_found, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_report, p5_found, p5_counts, p6_found, p6_segments, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_restored)
+    every = (p1_found, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_report, p5_found, p5_counts, p5_records, p6_found, p6_segments, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_restored)
     return {f.__name__: f for f in every}
 
 
@@ -149,5 +155,9 @@ def oracle_sql() -> dict[str, str]:
           select l.*, contains(' ' || array_to_string({item_words.replace('text', 'd.text')}, ' ') || ' ', ' ' || array_to_string({item_words.replace('text', 'e.expected_theme')}, ' ') || ' ') as answer_found
           from l join documents d using (doc_id) join eval_item e using (item_id)""",
         "p5_found": f"{sets} select keep as keep_seq, seq as copy_seq from g where n > 0 and seq <> keep",
+        "p5_records": f"""
+          with b as (select seq, {', '.join(f"{bag.replace('text', f'coalesce({c}, chr(32))')} as b_{c}" for c in ('title', 'body', 'product'))} from raw_review),
+          g as (select seq, len(b_title) + len(b_body) + len(b_product) as n, min(seq) over (partition by b_title, b_body, b_product) as keep from b)
+          select keep as keep_seq, seq as copy_seq from g where n > 0 and seq <> keep""",
         "p5_counts": f"{sets} select seq, review_id, case when n > 0 then c else 1 end as n_copies from g where seq = keep or n = 0",
     }

@@ -111,6 +111,27 @@ def test_copies_match_brute_force(spark, texts):
     assert {(r.keep, r.copy) for r in copies.copy_sets(df, "seq", ["text"]).collect()} == want
 
 
+def test_fingerprints_that_collide_are_told_apart(spark, monkeypatch):
+    """With a hash of the number of words only, every group is wrong at first."""
+    real = copies.multiset_hash
+    monkeypatch.setattr(copies, "multiset_hash", lambda fields, seed=0: [real(fields)[0], *(c.alias(n) for c, n in zip((copies.F.lit(0).cast("long"),) * 2, ("h1", "h2")))] if seed < 2 else real(fields, seed))
+    rows = [(1, "a b"), (2, "c d"), (3, "B a!"), (4, "d c"), (5, "d, C"), (6, "a b"), (7, "e f")]
+    got = copies.copy_sets(spark.createDataFrame(rows, "seq long, text string"), "seq", ["text"])
+    assert {(r.keep, r.copy) for r in got.collect()} == {(1, 3), (1, 6), (2, 4), (2, 5)}
+
+
+def test_copies_are_found_without_sorting(spark):
+    df = spark.createDataFrame([(i, f"w{i // 2} x") for i in range(40)], "seq long, text string")
+    plans = []
+    real = copies.materialize
+    try:
+        copies.materialize = lambda d: plans.append(d) or real(d)
+        copies.collapsed(df, "seq", ["text"]).collect()
+    finally:
+        copies.materialize = real
+    assert len(plans) >= 5 and not any(w in p._jdf.queryExecution().executedPlan().toString() for p in plans for w in ("SortMergeJoin", "+- Sort ", "SortAggregate"))
+
+
 def test_copies_of_records_and_counts(spark):
     rows = [(1, "Hello World", "a"), (2, "world, HELLO!", "A."), (3, "hello world", "b"), (4, "hello hello world", "a"), (5, None, None), (6, None, None), (7, "a", "hello world"), (2, "world, HELLO!", "A.")]
     df = spark.createDataFrame(rows, "seq long, text string, other string")
