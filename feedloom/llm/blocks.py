@@ -20,9 +20,10 @@ from ..session import materialize
 from .kmtree import unit_rows
 
 BLOCK_MEMBERS = 8192
-LEAST_PART, MOST_PART = 16_384, 65_536
 BLOCK_QUERIES = 32768
 SAMPLE_ROWS = 40_000
+MOST_SAMPLE = 131_072  # bound of a grown sample
+CELL_POINTS = 16  # of the sample, for each cell
 PROBES = 400
 
 
@@ -85,28 +86,37 @@ def groups_of(vectors: DataFrame) -> pd.DataFrame:
     return vectors.groupBy("model_version", "dim").agg(F.count(F.lit(1)).alias("rows")).toPandas().sort_values(["model_version", "dim"], ignore_index=True)
 
 
-def sample_of(vectors: DataFrame, groups: pd.DataFrame, rows: int) -> list[np.ndarray]:
-    """At most about ``rows`` raw vectors of each group, chosen by a hash of the id; the same at every run."""
+def sample_size(rows: int, cells: int) -> int:
+    """Rows a router of ``cells`` cells is fitted on: enough for each cell, within a bound."""
+    return min(MOST_SAMPLE, max(SAMPLE_ROWS, CELL_POINTS * cells))
+
+
+def _drawn(vectors: DataFrame, groups: pd.DataFrame, wanted: list[int], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(ids, raw vectors) of about ``wanted`` rows of each group, chosen by a 63-bit hash of the id in one scan; never more than twice as many."""
+    keep = F.lit(False)
+    share = [min(1.0, w / max(1, int(g.rows))) for w, g in zip(wanted, groups.itertuples())]
+    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1)
+    for part, g in zip(share, groups.itertuples()):
+        mine = F.col("model_version").eqNullSafe(F.lit(g.model_version)) & (F.col("dim") == int(g.dim))
+        keep = keep | (mine & (draw < int(part * (1 << 63))) if part < 1 else mine)
+    got = vectors.where(keep).select("model_version", "dim", "id", "vec").limit(2 * sum(wanted) + 1000).toPandas()
+    index = index_of(groups)
+    code = np.array([index[m, int(d)] for m, d in zip(got["model_version"], got["dim"])], np.int64)
     out = []
-    for g in groups.itertuples():
-        share = min(1.0, rows / max(1, g.rows))
-        part = vectors.where((F.col("model_version").eqNullSafe(F.lit(g.model_version))) & (F.col("dim") == int(g.dim)))
-        if share < 1:
-            part = part.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-        got = part.select("id", "vec").toPandas().sort_values("id")
-        out.append(matrix(got["vec"], int(g.dim)))
+    for i, g in enumerate(groups.itertuples()):
+        part = got[code == i].sort_values("id", kind="stable").iloc[: 2 * wanted[i] + 1000]
+        out.append((part["id"].to_numpy(), matrix(part["vec"], int(g.dim))))
     return out
 
 
+def sample_of(vectors: DataFrame, groups: pd.DataFrame, wanted: list[int]) -> list[np.ndarray]:
+    """About ``wanted`` raw vectors of each group, or all; the same at every run."""
+    return [raw for _, raw in _drawn(vectors, groups, wanted, 1)]
+
+
 def probes_of(vectors: DataFrame, groups: pd.DataFrame, most: int = PROBES) -> list[tuple[np.ndarray, np.ndarray]]:
     """(ids, raw vectors) of the held-out probe queries of each group, another hash than the sample's."""
-    out = []
-    for g in groups.itertuples():
-        cut = max(1, int(min(1.0, most / max(1, g.rows)) * 1_000_000))
-        part = vectors.where((F.col("model_version").eqNullSafe(F.lit(g.model_version))) & (F.col("dim") == int(g.dim)))
-        got = part.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < cut).select("id", "vec").toPandas().sort_values("id")
-        out.append((got["id"].to_numpy(), matrix(got["vec"], int(g.dim))))
-    return out
+    return _drawn(vectors, groups, [most] * len(groups), 5)
 
 
 def index_of(groups: pd.DataFrame) -> dict[tuple[str | None, int], int]:
@@ -165,13 +175,17 @@ def meet(vectors: DataFrame, routers: list, groups: pd.DataFrame, margins: list[
                 parts = []
                 plain = (ms[cell] == 1) & (qs[cell] == 1)
                 parts.append((q[plain], cell[plain], np.zeros(plain.sum(), np.int64), np.zeros(plain.sum(), np.int64), np.where(home[plain], 3, 2)))
-                for i in np.flatnonzero(~plain):
-                    c = cell[i]
-                    for m in range(ms[c]):
-                        for k in range(qs[c]):
-                            role = (1 if home[i] and m == own_m[i] else 0) + (2 if k == own_q[i] else 0)
-                            if role:
-                                parts.append(([q[i]], [c], [m], [k], [role]))
+                # in a cut cell a member meets every part of the queries, and a query every part of the members
+                at = np.flatnonzero(~plain & home)
+                row = np.repeat(at, qs[cell[at]])
+                k = np.arange(len(row)) - np.repeat(np.cumsum(qs[cell[at]]) - qs[cell[at]], qs[cell[at]])
+                parts.append((q[row], cell[row], own_m[row], k, np.where(k == own_q[row], 3, 1)))
+                at = np.flatnonzero(~plain)
+                row = np.repeat(at, ms[cell[at]])
+                m = np.arange(len(row)) - np.repeat(np.cumsum(ms[cell[at]]) - ms[cell[at]], ms[cell[at]])
+                other = ~home[row] | (m != own_m[row])
+                row, m = row[other], m[other]
+                parts.append((q[row], cell[row], m, own_q[row], np.full(len(row), 2)))
                 row, cell_, m_, k_, role_ = (np.concatenate([np.asarray(p[j], np.int64) for p in parts]) for j in range(5))
                 data = [r.tobytes() for r in raw]
                 for s in range(0, len(row), 8192):
@@ -195,39 +209,6 @@ def meet(vectors: DataFrame, routers: list, groups: pd.DataFrame, margins: list[
     return sent.groupBy("g", "cell", "m", "k").applyInArrow(work, schema)
 
 
-def meet_all(vectors: DataFrame, groups: pd.DataFrame, kernel: Callable, schema: str) -> DataFrame:
-    """``kernel(ids, vectors, ids, vectors)`` on each pair of parts, so that all vectors of a group meet all others once.
-
-    A part has 16,384 rows or more, growing up to 65,536, so that a vector is copied as rarely as memory allows.
-    """
-    index = index_of(groups)
-    parts = [max(1, -(-int(n) // min(MOST_PART, max(LEAST_PART, int(n) // 6)))) for n in groups.rows]
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g, ids, raw, _ in by_group(batch, index):
-                own = np.repeat(ids.astype(np.int64) * 7919 % 1_000_003 % parts[g], parts[g])
-                other = np.tile(np.arange(parts[g]), len(ids))
-                row = np.repeat(np.arange(len(ids)), parts[g])
-                role = np.where(own == other, 3, np.where(own < other, 1, 2))
-                data = [r.tobytes() for r in raw]
-                for s in range(0, len(row), 8192):
-                    e = slice(s, s + 8192)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row[e]), g, np.int32)), pa.array(np.minimum(own, other)[e].astype(np.int32)), pa.array(np.maximum(own, other)[e].astype(np.int32)), pa.array(role[e].astype(np.int8)), pa.array(ids[row[e]]), pa.array([data[i] for i in row[e]], pa.binary())],
-                        names=["g", "i", "j", "role", "id", "vec"],
-                    )
-
-    def work(table: pa.Table) -> pa.Table:
-        role, ids, vec = table.column("role").to_numpy(), table.column("id").to_numpy(), table.column("vec").to_pylist()
-        raw = np.frombuffer(b"".join(vec), np.float32).reshape(len(vec), -1)
-        one, two = (role & 1) > 0, (role & 2) > 0
-        return pa.Table.from_pandas(kernel(int(table.column("g")[0].as_py()), ids[one], raw[one], ids[two], raw[two]), preserve_index=False)
-
-    sent = vectors.mapInArrow(send, "g int, i int, j int, role byte, id long, vec binary")
-    return sent.groupBy("g", "i", "j").applyInArrow(work, schema)
-
-
 def scan_probes(vectors: DataFrame, groups: pd.DataFrame, routers: list, probes: list, kernel: Callable, schema: str) -> DataFrame:
     """``kernel(g, probe ids, probe vectors, probe gaps, ids, vectors, home cells)`` on every batch of all vectors."""
     spark = vectors.sparkSession

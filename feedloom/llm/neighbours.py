@@ -11,7 +11,7 @@ from ..session import materialize
 from . import blocks
 from .kmtree import Tree, unit_rows
 
-RECALL = 0.98
+RECALL = 0.99
 LEAF_ROWS = 4096
 SLACK = 3
 
@@ -107,12 +107,12 @@ def best_of_block(k: int, min_cosine: float):
     return kernel
 
 
-def most_similar(cache: DataFrame, k: int = 5, min_cosine: float = 0.75, recall: float = RECALL, leaf_rows: int | None = None, sample_rows: int = blocks.SAMPLE_ROWS) -> DataFrame:
+def most_similar(cache: DataFrame, k: int = 5, min_cosine: float = 0.75, recall: float = RECALL, leaf_rows: int | None = None, sample_rows: int | None = None) -> DataFrame:
     """(id, other, cosine, rank): the ``k`` vectors of the same model version most similar to each vector.
 
     Only vectors with a cosine of at least ``min_cosine`` count, rounded to 9 decimals, ties to the smaller id. The index
-    is a hierarchical k-means tree fitted on at most ``sample_rows`` vectors of a model version; every valid
-    vector is indexed and every one is a query. How far a query widens its visits is calibrated: the gap within
+    is a hierarchical k-means tree fitted on about ``sample_rows`` vectors of a model version (by default 40,000, or 16 for each leaf, at
+    most 131,072); every valid vector is indexed and every one is a query. How far a query widens its visits is calibrated: the gap within
     which ``recall`` of the true neighbours of up to 400 probe queries, found by brute force over all rows, lie.
 
     Null, short, non-finite and all-zero vectors have no neighbours. Of copies of one direction only the six
@@ -136,7 +136,9 @@ def most_similar(cache: DataFrame, k: int = 5, min_cosine: float = 0.75, recall:
         rest = materialize(rest.select("id", "lead"))
         searched = materialize(vectors.join(rest, "id", "left_anti"))
     groups = blocks.groups_of(searched)
-    routers = [TreeRouter(Tree.fit(unit_rows(s), int(g.rows), leaf_rows or leaf_size(int(g.rows)))) for s, g in zip(blocks.sample_of(searched, groups, sample_rows), groups.itertuples())]
+    leaves = [leaf_rows or leaf_size(int(g.rows)) for g in groups.itertuples()]
+    wanted = [sample_rows or blocks.sample_size(int(g.rows), 2 * int(g.rows) // n) for n, g in zip(leaves, groups.itertuples())]
+    routers = [TreeRouter(Tree.fit(unit_rows(s), int(g.rows), n)) for s, g, n in zip(blocks.sample_of(searched, groups, wanted), groups.itertuples(), leaves)]
     margins = _calibrate(searched, groups, routers, k, min_cosine, recall)
     found = blocks.meet(searched, routers, groups, margins, best_of_block(k, min_cosine), "id long, other long, cosine double")
     top = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)

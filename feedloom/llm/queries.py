@@ -60,6 +60,10 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.cluster_report(_table(spark, sf_dir, "embedding_cache"))
 
 
+def p4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.mixture_clusters(_table(spark, sf_dir, "embedding_cache"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = copies.copy_sets(_table(spark, sf_dir, "clean_review"), "seq", ["text"])
     return sets.select(F.col("keep").alias("keep_seq"), F.col("copy").alias("copy_seq"))
@@ -110,7 +114,7 @@ def p9_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p1_found, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_report, p5_found, p5_counts, p5_records, p6_found, p6_segments, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_restored)
+    every = (p1_found, p2_found, p2_redacted, p3_found, p3_classes, p4_found, p4_report, p4_mixture, p5_found, p5_counts, p5_records, p6_found, p6_segments, p7_found, p7_report, p8_mix, p8_shares, p9_found, p9_restored)
     return {f.__name__: f for f in every}
 
 
