@@ -18,7 +18,7 @@ from feedloom.llm.words import words_of
 def finder():
     calm = ["The app is slow today.", "I waited 5 days for my report.", "Please fix this soon.", "Everything was smooth before the release.", "My parents use it too and they are lost."]
     f = personal.Finder({w: 0.1 for s in calm for w in s.lower().strip(".").split()} | {"people": 0.02, "promised": 0.02, "road": 0.02, "the": 0.5, "who": 0.1, "it": 0.3})
-    return f.fit(personal.training_lines(calm, 3000))
+    return f.fit(personal.training_lines(calm, f, 5000))
 
 
 @pytest.mark.parametrize(
