@@ -241,19 +241,25 @@ class Segmenter:
                 out[i].append((a, b, lang, conf, int(n)))
 
 
-def labelled_sample(rows: DataFrame, text: str, locale: str, most: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
-    """About ``most`` texts, or all, of each language by their locale, chosen by a hash; some labels will be wrong.
+def _share(most: int, n: int) -> int:
+    """Below which of 2^63 hash values a row is drawn, so that ``most`` of ``n`` are; never none."""
+    return min((1 << 63) - 1, max(1, int(min(1.0, most / n) * (1 << 63))))
 
-    Only counts are shuffled, one for each language.
+
+def labelled_sample(rows: DataFrame, text: str, locale: str, most: int = TRAIN_ROWS, key: str | None = None) -> tuple[list[str], list[int]]:
+    """About ``most`` texts, or all, of each language by their locale, chosen by a 63-bit hash of ``key`` and text; some labels will be wrong.
+
+    Only counts are shuffled, one for each language. Never more than twice ``most`` texts of all languages together are collected, also
+    where one text is repeated without end.
     """
     lang = locale_language(F.col(locale))
-    some = rows.select(F.col(text).alias("t"), lang.alias("l")).where(F.col("l").isin(*LANGUAGES) & F.col("t").isNotNull() & (F.length("t") >= 40))
+    some = rows.select(F.col(text).alias("t"), lang.alias("l"), F.col(key or text).alias("k")).where(F.col("l").isin(*LANGUAGES) & F.col("t").isNotNull() & (F.length("t") >= 40))
     counts = {r["l"]: r["count"] for r in some.groupBy("l").count().collect()}
     cut = F.lit(0)
     for name, n in counts.items():
-        cut = F.when(F.col("l") == name, int(min(1.0, most / n) * 1_000_000)).otherwise(cut)
-    drawn = some.where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(1_000_000)) < cut)
-    got = drawn.toPandas().sort_values(["l", "t"], ignore_index=True)
+        cut = F.when(F.col("l") == name, _share(most, n)).otherwise(cut)
+    drawn = some.where(F.shiftrightunsigned(F.xxhash64("k", "t", F.lit(3)), 1) < cut)
+    got = drawn.select("l", "t").limit(2 * most * len(LANGUAGES)).toPandas().sort_values(["l", "t"], ignore_index=True)
     return got["t"].tolist(), [LANGUAGES.index(x) for x in got["l"]]
 
 
@@ -276,7 +282,7 @@ def language_segments(rows: DataFrame, key: str, text: str, locale: str, least_v
 
 def _scan(rows: DataFrame, key: str, text: str, locale: str, least_votes: int, train_rows: int, rows_of, schema: str) -> DataFrame:
     """``rows_of(key, locale's language, stretches)`` of every text that has words."""
-    texts, labels = labelled_sample(rows, text, locale, train_rows)
+    texts, labels = labelled_sample(rows, text, locale, train_rows, key)
     model = LanguageModel().fit(texts, labels) if texts else None
     shared = rows.sparkSession.sparkContext.broadcast(model)
     src = rows.select(F.col(key).alias("key"), locale_language(F.col(locale)).alias("locale_lang"), F.col(text).alias("t")).where("key is not null and t is not null")

@@ -28,19 +28,23 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str):
+def encoding(vocabulary: bytes):
     import tiktoken
 
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line)}
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def with_tokens(documents: DataFrame, path: str) -> DataFrame:
-    """(doc_id, source, n_tokens): the number of tokens of each whole text; 0 for null and empty texts."""
+    """(doc_id, source, n_tokens): the number of tokens of each whole text; 0 for null and empty texts.
+
+    The vocabulary at ``path`` is read by the driver and broadcast, as the executors need not have it; its size is fixed.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        enc = encoding(shared.value)
         for frame in frames:
             texts = frame["text"].fillna("").tolist()
             n = [len(t) for t in enc.encode_ordinary_batch(texts, num_threads=1)]

@@ -154,6 +154,17 @@ def test_languages(spark, data):
     assert languages.wrong_labels(raw.limit(0)).count() == 0
 
 
+def test_the_labelled_sample_is_never_empty_nor_unbounded(spark):
+    assert languages._share(1500, 10**13) * 10**13 / 2**63 == pytest.approx(1500, rel=0.01)
+    assert languages._share(1500, 10**30) == 1
+    same = "The search bar keeps throwing me back to the sign in page every day."
+    rows = spark.range(40_000).selectExpr("id as seq", f"if(id % 3 = 0, concat('Noch einmal von vorne angefangen am Tag ', id), '{same}') as body", "if(id % 3 = 0, 'de', 'en-US') as locale")
+    texts, labels = languages.labelled_sample(rows, "body", "locale", 200, "seq")
+    n = [labels.count(languages.LANGUAGES.index(x)) for x in ("en", "de")]
+    assert all(120 <= k <= 280 for k in n), n
+    assert len(languages.labelled_sample(rows, "body", "locale", 10)[0]) <= 2 * 10 * len(languages.LANGUAGES)
+
+
 def test_language_accuracy_on_held_out_rows(spark, data):
     data = data.replace("sf0.001", "sf0.01")
     raw = spark.read.parquet(f"{data}/raw_review.parquet")
