@@ -13,11 +13,20 @@ def enriched_themes(themes: DataFrame, ratings: DataFrame, by: list[str], ids: s
     return listed.join(known, "review_id", "left").groupBy(*by).agg(F.count("review_id").alias("review_count"), F.avg("rating").alias("avg_rating"))
 
 
+# Labels and colours of the read side.
+TOP, HIGH, OTHER = "Top Priority", "High Priority", "Priority"
+RED, ORANGE, BLUE, GREEN, GREY = "#ef4444", "#f97316", "#3b82f6", "#22c55e", "#9ca3af"
+DRAFTED, UPDATED = "Drafted weekly pulse for ", "Updated Pulse Doc for "
+TIME_FORMAT = "dd/MM/yyyy, HH:mm:ss"
+
+
 def prioritised(themes: DataFrame, by: list[str], theme: str) -> DataFrame:
-    """``themes`` with position and label: the first is Top, the next two High, the rest Priority."""
+    """``themes`` with position, label and colour: the first is top, the next two high; ties in size by ``theme``."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("review_count"), theme)) - 1
-    label = F.when(F.col("position") == 0, "Top").when(F.col("position") <= 2, "High").otherwise("Priority")
-    return themes.withColumn("position", place).withColumn("priority", label)
+    at = F.col("position")
+    label = F.when(at == 0, TOP).when(at <= 2, HIGH).otherwise(OTHER)
+    colour = F.when(at == 0, RED).when(at <= 2, ORANGE).otherwise(BLUE)
+    return themes.withColumn("position", place).withColumn("priority", label).withColumn("priority_colour", colour)
 
 
 def pulse_level(average: Column) -> Column:
@@ -33,6 +42,13 @@ def sentiment_label(average: Column) -> Column:
     return F.when(average.isNull(), "neutral").when(sentiment(average) >= 0, "bullish").otherwise("bearish")
 
 
+def sentiment_display(average: Column) -> tuple[Column, Column]:
+    """(value, direction): the sentiment with its sign, to one decimal, and up or down; 0.0 and neutral without a rating."""
+    delta = sentiment(average)
+    value = F.concat(F.when(delta >= 0, "+").otherwise(""), F.format_string("%.1f", delta), F.lit("%"))
+    return F.when(average.isNull(), "0.0").otherwise(value), F.when(average.isNull(), "neutral").when(delta >= 0, "up").otherwise("down")
+
+
 def summary(themes: DataFrame, by: list[str]) -> DataFrame:
     """(by, n_themes, mean_rating, level, sentiment, mood, urgent): urgent themes have an average below 4."""
     mean = F.avg("avg_rating")
@@ -50,16 +66,26 @@ def latest_good(runs: DataFrame) -> DataFrame:
 
 
 def activity(runs: DataFrame, n: int = 3) -> DataFrame:
-    """The last ``n`` runs of each product with a label and a colour."""
+    """The last ``n`` runs of each product with a label and a colour: drafted if there is a draft, else updated if there is a document, else its status."""
     rank = F.row_number().over(Window.partitionBy("product").orderBy(F.desc("started_at"), "run_id"))
-    s = F.col("status")
-    label = F.when(s == "ok", "Pulse delivered").when(s == "partial", "Partly delivered").when(s == "failed", "Run failed").otherwise("Skipped")
-    colour = F.when(s == "ok", "green").when(s == "partial", "amber").when(s == "failed", "red").otherwise("grey")
-    return runs.withColumn("rank", rank).where(F.col("rank") <= n).withColumn("label", label).withColumn("colour", colour)
+    drafted, updated = F.coalesce("gmail_draft_id", F.lit("")) != "", F.coalesce("doc_id", F.lit("")) != ""
+    label = F.when(drafted, F.concat(F.lit(DRAFTED), "iso_week")).when(updated, F.concat(F.lit(UPDATED), "iso_week")).otherwise(F.concat(F.lit("Run "), "status", F.lit(" for "), "iso_week"))
+    return runs.withColumn("rank", rank).where(F.col("rank") <= n).withColumn("label", label).withColumn("colour", F.when(drafted | updated, GREEN).otherwise(GREY))
+
+
+def team_name(email: Column) -> Column:
+    """A team's name from an e-mail address: the words before the @, each with a capital; null for null."""
+    words = F.filter(F.split(F.regexp_replace(F.split(email, "@")[0], "[._-]", " "), r"\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, F.initcap), " ")
+
+
+def shown_time(at: Column) -> Column:
+    return F.date_format(at, TIME_FORMAT)
 
 
-def team_name(slug: Column) -> Column:
-    return F.concat(F.initcap(F.regexp_replace(slug, "[-_]+", " ")), F.lit(" Team"))
+def shown_quote(text: Column, most: int = 120) -> Column:
+    """A quote cut to ``most`` characters, with an ellipsis if something is missing."""
+    return F.when(F.length(text) > most, F.concat(F.rtrim(F.left(text, F.lit(most))), F.lit("…"))).otherwise(text)
 
 
 def stars(average: Column) -> tuple[Column, Column]:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-LINK = "{{DOC_LINK}}"
+# The mark that delivery replaces by the link, and the form of the link.
+LINK = "{{PULSE_DEEP_LINK}}"
+DOCUMENT = "https://docs.google.com/document/d/"
+HEADING_LENGTH = 80
 
 
 def idempotency_key(*parts: Column) -> Column:
@@ -17,7 +20,7 @@ def idempotency_key(*parts: Column) -> Column:
 
 
 def deep_link(doc_id: Column, anchor: Column) -> Column:
-    return F.concat(F.lit("https://docs.example.com/document/d/"), doc_id, F.lit("/edit#heading="), anchor)
+    return F.concat(F.lit(DOCUMENT), doc_id, F.lit("/edit#heading="), anchor)
 
 
 def replace_link(body: Column, url: Column) -> Column:
@@ -25,38 +28,79 @@ def replace_link(body: Column, url: Column) -> Column:
     return F.when(F.contains(body, F.lit(LINK)), F.replace(body, F.lit(LINK), url)).otherwise(F.raise_error(F.lit("the text has no link mark")))
 
 
-def doc_blocks(themes: DataFrame, by: list[str]) -> DataFrame:
-    """(by, theme_no, block_no, type, text, anchor): the blocks of each theme, from theme_no, title, summary, quotes,
-    action_ideas. The heading of the first theme follows the report heading, which alone carries the anchor."""
-    def block(kind: str, text: Column, anchor: Column | None = None) -> Column:
-        return F.struct(F.lit(kind).alias("type"), text.alias("text"), (anchor if anchor is not None else F.lit(None).cast("string")).alias("anchor"))
+def _block(kind: str, text: Column, anchor: Column | None = None, attribution: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(kind).alias("type"), text.alias("text"), (anchor if anchor is not None else none).alias("anchor"), (attribution if attribution is not None else none).alias("attribution"))
 
-    head = F.when(F.col("theme_no") == 0, F.array(block("heading_2", F.concat(F.initcap(F.replace(F.col("product"), F.lit("-"), F.lit(" "))), F.lit(" — Weekly pulse "), F.col("week")), T.anchor(F.col("product"), F.col("week")))))
-    ideas = F.coalesce(F.col("action_ideas"), F.array().cast("array<string>"))
-    quotes = F.coalesce(F.col("quotes"), F.array().cast("array<string>"))
-    empty = F.filter(F.array(block("x", F.lit(""))), lambda x: F.lit(False))
-    blocks = F.concat(
-        F.coalesce(head, empty),
-        F.array(block("heading_3", F.left(F.col("title"), F.lit(80))), block("paragraph", F.col("summary"))),
-        F.transform(quotes, lambda q: block("blockquote", q)),
-        F.when(F.size(ideas) > 0, F.concat(F.array(block("heading_3", F.lit("Action ideas"))), F.transform(ideas, lambda a: block("bullet", a)))).otherwise(empty),
-    )
-    return themes.select(*by, "theme_no", F.posexplode(blocks).alias("block_no", "b")).select(*by, "theme_no", "block_no", "b.type", "b.text", "b.anchor")
+
+_NO_BLOCKS = "array<struct<type: string, text: string, anchor: string, attribution: string>>"
+
+
+def theme_blocks(title: Column, summary: Column, quotes: Column, ideas: Column) -> Column:
+    """The blocks of one theme: heading, summary, quotes with their review, and the action ideas if there are any. ``quotes`` is an array of (text, review_id)."""
+    none = F.array().cast(_NO_BLOCKS)
+    said = F.coalesce(F.transform(quotes, lambda q: _block("blockquote", q["text"], attribution=q["review_id"])), none)
+    listed = F.when(F.size(ideas) > 0, F.concat(F.array(_block("heading_3", F.lit("Action ideas"))), F.transform(ideas, lambda a: _block("bullet", a))))
+    return F.concat(F.array(_block("heading_3", F.left(title, F.lit(HEADING_LENGTH))), _block("paragraph", summary)), said, F.coalesce(listed, none))
+
+
+def doc_blocks(reports: DataFrame, themes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, block_no, type, text, anchor, attribution): the blocks of each report in order.
+
+    ``reports`` has by, product, week, window_start, window_end, llm_model, sources, missing_sources (arrays), total_in, total_out and
+    fallback_used; ``themes`` by, theme_no, title, summary, quotes and action_ideas. The heading, the only block with an anchor, comes first, then the themes
+    by number, a line on how the report was made, and notes on a fallback and on sources without data. A report without themes has the rest. The
+    themes of a report are few, as only the best clusters get one, so they are nested.
+    """
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    own = themes.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("theme_no", theme_blocks(F.col("title"), F.col("summary"), F.col("quotes"), F.col("action_ideas")).alias("blocks")))).alias("_t"))
+    none = F.array().cast(_NO_BLOCKS)
+    head = _block("heading_2", F.concat(F.lit("Week of "), day("window_end"), F.lit(" (ISO "), "week", F.lit(") — "), F.col("total_out").cast("string"), F.lit(" reviews")), T.anchor(F.col("product"), F.col("week")))
+    counts = F.array_join(F.transform("sources", lambda x: F.concat(x, F.lit("="), F.col("total_in").cast("string"))), ", ")
+    foot = _block("paragraph", F.concat(F.lit("LLM: "), F.coalesce("llm_model", F.lit("")), F.lit(" · Window: "), day("window_start"), F.lit(" → "), day("window_end"), F.lit(" · Sources: "), counts))
+    fallback = F.when(F.col("fallback_used"), F.array(_block("paragraph", F.lit("Low-volume week — themes derived by rating bucket, not clustering."))))
+    gone = F.transform("missing_sources", lambda x: _block("paragraph", missing_note(x)))
+    blocks = F.concat(F.array(head), F.coalesce(F.flatten(F.transform("_t", lambda x: x["blocks"])), none), F.array(foot), F.coalesce(fallback, none), F.coalesce(gone, none))
+    return reports.join(own, by, "left").select(*by, F.posexplode(blocks).alias("block_no", "b")).select(*by, "block_no", "b.type", "b.text", "b.anchor", "b.attribution")
+
+
+def missing_note(source: Column) -> Column:
+    return F.concat(F.initcap(F.replace(source, F.lit("_"), F.lit(" "))), F.lit(" unavailable this week."))
 
 
 def source_notes(missing: DataFrame) -> DataFrame:
     """``missing`` with a note for each source without data."""
-    return missing.withColumn("note", F.concat(F.lit("No data from "), F.initcap(F.replace(F.col("source"), F.lit("_"), F.lit(" "))), F.lit(" this week.")))
+    return missing.withColumn("note", missing_note(F.col("source")))
 
 
-def email_html(subject: str, themes: list[dict], footer: str, most_bytes: int = 50_000) -> str:
-    """The e-mail of at most three themes, of one if three make it larger than ``most_bytes``; all texts are escaped."""
-    def render(some: list[dict]) -> str:
-        rows = "".join(f"<li><b>{html.escape(t['title'])}</b>: {html.escape(t.get('summary') or '')}</li>" for t in some)
+def email_subject(display_name: str, window_end) -> str:
+    return f"Weekly Pulse — {display_name} — Week of {window_end:%Y-%m-%d}"
+
+
+def email_footer(llm_model: str, window_start, window_end, sources) -> str:
+    return f"LLM: {llm_model} · Window: {window_start:%Y-%m-%d} → {window_end:%Y-%m-%d} · Sources: {', '.join(sources)}"
+
+
+def one_link(body: str) -> str:
+    """``body`` if it has exactly one link mark, else an error."""
+    if body.count(LINK) != 1:
+        raise ValueError(f"the text must hold its link mark once, not {body.count(LINK)} times")
+    return body
+
+
+def email_html(subject: str, titles: list[str], footer: str, most_bytes: int = 50_000) -> str:
+    """The e-mail of at most three titles, of one if three make it larger than ``most_bytes``; all texts are escaped."""
+    def render(some: list[str]) -> str:
+        rows = "".join(f"<li>{html.escape(t)}</li>" for t in some)
         return f'<h2>{html.escape(subject)}</h2><ul>{rows}</ul><p><a href="{LINK}">Full report</a></p><p>{html.escape(footer)}</p>'
 
-    out = render(themes[:3])
-    return out if len(out.encode()) <= most_bytes else render(themes[:1])
+    out = render(titles[:3])
+    return one_link(out if len(out.encode()) <= most_bytes else render(titles[:1]))
+
+
+def email_text(subject: str, titles: list[str], footer: str) -> str:
+    """The same as plain text; its first line is the subject."""
+    return one_link("\n".join([subject, "", *(f"- {t}" for t in titles[:3]), "", f"Full report: {LINK}", "", footer, ""]))
 
 
 def required_tools(servers: DataFrame) -> DataFrame:

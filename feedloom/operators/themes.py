@@ -69,6 +69,31 @@ def valid_quotes(quotes: DataFrame, members: DataFrame, reviews: DataFrame, by:
     return joined.where((F.col("_n") != "") & F.contains(T.normalize_for_match(F.col("text")), F.col("_n"))).select(*quotes.columns)
 
 
+def surviving(answers: DataFrame, members: DataFrame, reviews: DataFrame, by: list[str], rank: str, within: list[str], limit: float = 0.7) -> DataFrame:
+    """(by, rank, title, summary, quotes, action_ideas): the themes that are kept.
+
+    ``answers`` has by, ``rank`` and theme (see ``parsed``). Quotes that no member review holds are dropped, and with them a theme that
+    has none left; titles are cut to 60 characters and actions of more than twelve words left out; of themes of the same ``within``
+    whose titles are nearly the same the first by ``rank`` stays. A theme's quotes and a run's themes are few and are nested.
+    """
+    theme = answers.where("theme is not null").select(*by, rank, "theme")
+    said = theme.select(*by, F.posexplode("theme.quotes").alias("_at", "_q")).select(*by, "_at", F.col("_q.review_id").alias("review_id"), F.col("_q.text").alias("quote"))
+    good = valid_quotes(said, members, reviews, by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", F.col("quote").alias("text"), "review_id"))).alias("_q"))
+    kept = theme.join(good, by).select(
+        *by, rank, F.left("theme.title", F.lit(60)).alias("title"), F.coalesce("theme.summary", F.lit("")).alias("summary"),
+        F.transform("_q", lambda q: F.struct(q["text"].alias("text"), q["review_id"].alias("review_id"))).alias("quotes"),
+        F.coalesce(short_actions(F.filter("theme.action_ideas", lambda a: a.isNotNull())), F.array().cast("array<string>")).alias("action_ideas"),
+    )
+    titles = kept.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct(rank, *[c for c in by if c not in within], "title"))).alias("_all"))
+
+    def keep(acc: Column, t: Column) -> Column:
+        return F.when(F.exists(acc, lambda k: T.jaccard(k["title"], t["title"]) > limit), acc).otherwise(F.concat(acc, F.array(t)))
+
+    first = titles.select(*within, F.aggregate("_all", F.slice("_all", 1, 0), keep).alias("_kept"))
+    ids = first.select(*within, F.explode("_kept").alias("_k")).select(*within, *[F.col("_k")[c].alias(c) for c in by if c not in within])
+    return kept.join(ids, by, "left_semi")
+
+
 def dedup_titles(titles: Column, limit: float = 0.7) -> Column:
     """Titles in order, without those that share more than ``limit`` of their words with a title kept before."""
     def keep(acc: Column, t: Column) -> Column:

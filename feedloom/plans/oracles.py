@@ -119,7 +119,7 @@ def oracle_sql() -> dict[str, str]:
         "union_of_sources": "select s as source, count(seq) as n, case when count(seq) >= 1 then 'ok' else 'empty' end as status from (values ('app_store'), ('play_store'), ('web_forum')) v(s) left join raw_review on source = s group by 1",
         "missing_sources": f"""
           with w as (select slug as product, 'app_store' as source from product_registry where coalesce(app_store_id, '') <> '' union all select slug, 'play_store' from product_registry where coalesce(play_store_id, '') <> '')
-          select product, source, 'No data from ' || {title_case.format("replace(source, '_', ' ')")} || ' this week.' as note from w where (product, source) not in (select product, source from clean_review where product is not null)""",
+          select product, source, {title_case.format("replace(source, '_', ' ')")} || ' unavailable this week.' as note from w where (product, source) not in (select product, source from clean_review where product is not null)""",
         "payload_fields": """select seq, case when json_valid(raw) then try_cast(json_extract_string(raw, '$."im:rating".label') as bigint) end as payload_rating,
             case when json_valid(raw) then try_cast(json_extract_string(raw, '$.thumbsUpCount') as bigint) end as helpful from raw_review""",
         "dedup_first_hash": "select text_hash, seq, review_id from clean_review where text_hash is not null qualify row_number() over (partition by text_hash order by seq) = 1",
@@ -167,7 +167,7 @@ def oracle_sql() -> dict[str, str]:
         "repeated_sends": f"select product, iso_week, count(*) as n from pulse_run where {sent} group by 1, 2 having count(*) > 1",
         "anchor_slug": f"""
           select run_id, {anchor} as anchor, {anchor} = doc_section_anchor as as_stored, sha256(product || '|' || iso_week || '|1') as key,
-            'https://docs.example.com/document/d/' || run_id || '/edit#heading=' || {anchor} as link from pulse_run""",
+            'https://docs.google.com/document/d/' || run_id || '/edit#heading=' || {anchor} as link from pulse_run""",
         "anchor_membership": f"select {anchor} as anchor, run_id from pulse_run where {anchor} in (select doc_section_anchor from pulse_run where status = 'ok' and doc_section_anchor is not null)",
         "utf16_lengths": "select seq, length(body) + len(regexp_extract_all(body, '[\\x{10000}-\\x{10FFFF}]')) as units, length(body) as chars from raw_review",
         "recent_runs": "select run_id, product, started_at, status from pulse_run order by started_at desc, run_id limit 10",
@@ -179,18 +179,37 @@ def oracle_sql() -> dict[str, str]:
         "worst_exit": "select iso_week, max(case when status in ('ok', 'skipped') then 0 when status = 'partial' then 2 else 1 end)::bigint as exit_code from pulse_run group by 1",
         "latest_run": f"""
           with l as (select product, run_id, started_at, iso_week, status from pulse_run where status in ('ok', 'partial') qualify row_number() over (partition by product order by started_at desc, run_id desc) = 1)
-          select slug as product, display_name, run_id, started_at, iso_week, status, {title_case.format("regexp_replace(slug, '[-_]+', ' ', 'g')")} || ' Team' as team from product_registry left join l on slug = product""",
+          select slug as product, display_name, array_to_string(list_transform(list_filter(string_split(regexp_replace(split_part(email_recipients[1], '@', 1), '[._-]', ' ', 'g'), ' '), lambda w: w <> ''),
+              lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') as team,
+            run_id, started_at, iso_week, status, strftime(started_at, '%d/%m/%Y, %H:%M:%S') as started from product_registry left join l on slug = product""",
         "activity_feed": """
-          select product, rank, run_id, case status when 'ok' then 'Pulse delivered' when 'partial' then 'Partly delivered' when 'failed' then 'Run failed' else 'Skipped' end as label,
-            case status when 'ok' then 'green' when 'partial' then 'amber' when 'failed' then 'red' else 'grey' end as colour, strftime(started_at, '%Y-%m-%d') as day
+          select product, rank, run_id, case when gmail_draft_id <> '' then 'Drafted weekly pulse for ' || iso_week when doc_section_anchor <> '' then 'Updated Pulse Doc for ' || iso_week else 'Run ' || status || ' for ' || iso_week end as label,
+            case when gmail_draft_id <> '' or doc_section_anchor <> '' then '#22c55e' else '#9ca3af' end as colour, strftime(started_at, '%Y-%m-%d') as day
           from (select *, row_number() over (partition by product order by started_at desc, run_id) as rank from pulse_run) where rank <= 3""",
         "theme_enrich_priority": f"""{themes}
-          select run_id, cluster_id, review_count, round(avg_rating, 4) as avg_rating, k as position, case when k = 0 then 'Top' when k <= 2 then 'High' else 'Priority' end as priority
+          select run_id, cluster_id, review_count, round(avg_rating, 4) as avg_rating, k as position, case when k = 0 then 'Top Priority' when k <= 2 then 'High Priority' else 'Priority' end as priority,
+            case when k = 0 then '#ef4444' when k <= 2 then '#f97316' else '#3b82f6' end as priority_colour
           from (select *, row_number() over (partition by run_id order by review_count desc, cluster_id) - 1 as k from t)""",
         "pulse_summary": f"""{themes}
-          select run_id, count(*) as n_themes, round(avg(avg_rating), 4) as mean_rating, case when avg(avg_rating) < 3.5 then 'High' when avg(avg_rating) < 4.2 then 'Medium' else 'Low' end as level,
+          select run_id, case when avg(avg_rating) is null then '0.0' else case when (round(avg(avg_rating), 4) - 3.5) * 20 >= 0 then '+' else '' end || format('{{:.1f}}', (round(avg(avg_rating), 4) - 3.5) * 20) || '%' end as shown,
+            case when avg(avg_rating) is null then 'neutral' when (round(avg(avg_rating), 4) - 3.5) * 20 >= 0 then 'up' else 'down' end as direction, count(*) as n_themes, round(avg(avg_rating), 4) as mean_rating, case when avg(avg_rating) < 3.5 then 'High' when avg(avg_rating) < 4.2 then 'Medium' else 'Low' end as level,
             round((avg(avg_rating) - 3.5) * 20, 4) as sentiment, case when avg(avg_rating) is null then 'neutral' when avg(avg_rating) - 3.5 >= 0 then 'bullish' else 'bearish' end as mood, count(*) filter (avg_rating < 4) as urgent from t group by 1""",
         "star_strip": "select run_id, cluster_id, floor(avg_rating)::bigint as \"full\", avg_rating - floor(avg_rating) >= 0.5 as half from review_cluster",
+        "quote_cut": "select seq, case when length(text) > 120 then rtrim(left(text, 120), ' ') || '…' else text end as shown from clean_review",
+        "doc_blocks": f"""
+          with p as (select run_id, sum(size) as n from review_cluster group by 1),
+          r as (select run_id, product, iso_week, window_start, window_end, llm_model, forced, n from pulse_run join p using (run_id)),
+          b as (
+            select run_id, 0 as a, 0 as b, 0 as c, 'heading_2' as type, 'Week of ' || strftime(window_end, '%Y-%m-%d') || ' (ISO ' || iso_week || ') — ' || n || ' reviews' as text, {anchor} as anchor, null as attribution from r
+            union all select run_id, 1, cluster_id, 0, 'heading_3', 'Theme ' || cluster_id, null, null from review_cluster join p using (run_id)
+            union all select run_id, 1, cluster_id, 1, 'paragraph', size || ' reviews', null, null from review_cluster
+            union all select run_id, 1, cluster_id, 2, 'blockquote', 'said in ' || centroid_review_ids[1], null, centroid_review_ids[1] from review_cluster where len(centroid_review_ids) > 0
+            union all select run_id, 1, cluster_id, 3, 'heading_3', 'Action ideas', null, null from review_cluster where avg_rating < 3
+            union all select run_id, 1, cluster_id, 4, 'bullet', 'Fix it', null, null from review_cluster where avg_rating < 3
+            union all select run_id, 2, 0, 0, 'paragraph', 'LLM: ' || coalesce(llm_model, '') || ' · Window: ' || strftime(window_start, '%Y-%m-%d') || ' → ' || strftime(window_end, '%Y-%m-%d') || ' · Sources: app_store=' || (n + 7) || ', play_store=' || (n + 7), null, null from r
+            union all select run_id, 3, 0, 0, 'paragraph', 'Low-volume week — themes derived by rating bucket, not clustering.', null, null from r where forced
+            union all select run_id, 4, 0, 0, 'paragraph', 'Play Store unavailable this week.', null, null from r where n < 40)
+          select run_id, row_number() over (partition by run_id order by a, b, c) - 1 as block_no, type, text, anchor, attribution from b""",
         "header_lookup": "select event_id as message_id from events where json_extract_string(props, '$.k') = '69' order by 1 limit 20",
         "sessions_of_events": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
     }

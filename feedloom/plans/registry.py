@@ -293,9 +293,27 @@ def anchor_membership(s, d):
 
 
 def doc_blocks(s, d):
-    themes_ = _t(s, d, "review_cluster").join(_t(s, d, "pulse_run").select("run_id", "product", F.col("iso_week").alias("week")), "run_id")
-    rows = themes_.select("run_id", F.col("cluster_id").alias("theme_no"), "product", "week", F.concat(F.lit("Theme "), "cluster_id").alias("title"), F.concat("size", F.lit(" reviews")).alias("summary"), F.slice("centroid_review_ids", 1, 2).alias("quotes"), F.array().cast("array<string>").alias("action_ideas"))
-    return report.doc_blocks(rows, ["run_id"]).select("run_id", "theme_no", _long(F.col("block_no"), "block_no"), "type", "text", "anchor")
+    """Reports over the given clusters: each cluster's number stands for its title, its first typical review gives the quote."""
+    runs = _t(s, d, "pulse_run").select("run_id", "product", F.col("iso_week").alias("week"), "window_start", "window_end", "llm_model", F.col("forced").alias("fallback_used"))
+    per_run = _t(s, d, "review_cluster").groupBy("run_id").agg(F.sum("size").alias("total_out"), (F.sum("size") + 7).alias("total_in"))
+    reports = runs.join(per_run, "run_id").withColumn("sources", F.array(F.lit("app_store"), F.lit("play_store"))).withColumn("missing_sources", F.when(F.col("total_out") < 40, F.array(F.lit("play_store"))))
+    none = F.array().cast("array<string>")
+    themes_ = _t(s, d, "review_cluster").select(
+        "run_id", F.col("cluster_id").alias("theme_no"), F.concat(F.lit("Theme "), "cluster_id").alias("title"), F.concat("size", F.lit(" reviews")).alias("summary"),
+        F.transform(F.slice("centroid_review_ids", 1, 1), lambda x: F.struct(F.concat(F.lit("said in "), x).alias("text"), x.alias("review_id"))).alias("quotes"),
+        F.when(F.col("avg_rating") < 3, F.array(F.lit("Fix it"))).otherwise(none).alias("action_ideas"),
+    )
+    return report.doc_blocks(reports, themes_, ["run_id"]).select("run_id", _long(F.col("block_no"), "block_no"), "type", "text", "anchor", "attribution")
+
+
+def surviving_themes(s, d):
+    """The answers of the built-in provider after quote check, title dedup and limits."""
+    from .pipeline import themed
+
+    by = ["run_id", "cluster_id"]
+    answers = themed(_t(s, d, "review_cluster"), _t(s, d, "clean_review"), by).withColumn("rank", F.col("cluster_id"))
+    out = themes.surviving(answers, _member_ids(s, d), _t(s, d, "clean_review"), by, "rank", ["run_id"])
+    return out.select("run_id", "cluster_id", "title", F.array_join(F.transform("quotes", lambda q: q["review_id"]), ",").alias("quoted"))
 
 
 def utf16_lengths(s, d):
@@ -328,13 +346,14 @@ def worst_exit(s, d):
 
 
 def latest_run(s, d):
-    reg = _t(s, d, "product_registry").select(F.col("slug").alias("product"), "display_name")
+    reg = _t(s, d, "product_registry").select(F.col("slug").alias("product"), "display_name", dashboard.team_name(F.get("email_recipients", F.lit(0))).alias("team"))
     last = dashboard.latest_good(_t(s, d, "pulse_run").select("product", "run_id", "started_at", "iso_week", "status"))
-    return reg.join(last, "product", "left").withColumn("team", dashboard.team_name(F.col("product")))
+    return reg.join(last, "product", "left").withColumn("started", dashboard.shown_time(F.col("started_at")))
 
 
 def activity_feed(s, d):
-    return dashboard.activity(_t(s, d, "pulse_run")).select("product", _long(F.col("rank"), "rank"), "run_id", "label", "colour", F.date_format("started_at", "yyyy-MM-dd").alias("day"))
+    runs = _t(s, d, "pulse_run").withColumn("doc_id", F.col("doc_section_anchor"))  # the table has no document id
+    return dashboard.activity(runs).select("product", _long(F.col("rank"), "rank"), "run_id", "label", "colour", F.date_format("started_at", "yyyy-MM-dd").alias("day"))
 
 
 def _themes(s, d):
@@ -342,12 +361,13 @@ def _themes(s, d):
 
 
 def theme_enrich_priority(s, d):
-    return dashboard.prioritised(_themes(s, d), ["run_id"], "cluster_id").select("run_id", "cluster_id", "review_count", F.round("avg_rating", 4).alias("avg_rating"), _long(F.col("position"), "position"), "priority")
+    return dashboard.prioritised(_themes(s, d), ["run_id"], "cluster_id").select("run_id", "cluster_id", "review_count", F.round("avg_rating", 4).alias("avg_rating"), _long(F.col("position"), "position"), "priority", "priority_colour")
 
 
 def pulse_summary(s, d):
     out = dashboard.summary(_themes(s, d), ["run_id"])
-    return out.select("run_id", "n_themes", F.round("mean_rating", 4).alias("mean_rating"), "level", F.round("sentiment", 4).alias("sentiment"), "mood", "urgent")
+    value, direction = dashboard.sentiment_display(F.round("mean_rating", 4))
+    return out.select("run_id", value.alias("shown"), direction.alias("direction"), "n_themes", F.round("mean_rating", 4).alias("mean_rating"), "level", F.round("sentiment", 4).alias("sentiment"), "mood", "urgent")
 
 
 def star_strip(s, d):
@@ -355,6 +375,10 @@ def star_strip(s, d):
     return _t(s, d, "review_cluster").select("run_id", "cluster_id", _long(full, "full"), half.alias("half"))
 
 
+def quote_cut(s, d):
+    return _t(s, d, "clean_review").select("seq", dashboard.shown_quote(F.col("text")).alias("shown"))
+
+
 def header_lookup(s, d):
     """Messages whose payload headers hold a value: event properties as headers."""
     rows = _t(s, d, "events").select(F.col("event_id").alias("message_id"), F.from_json("props", "map<string,string>").alias("headers"))
@@ -374,8 +398,8 @@ _ALL = (
     corpus_stats, merge_title_body, text_normalize_hash, text_hash_check, emoji_flag, letters_filter, token_filter, language_gate, pii_counts, pii_scrub, synthetic_ids, iso_weeks, week_windows, last_completed_weeks,
     week_ranges, source_resolution, window_filter, window_dedup, ingest_funnel, source_cap, union_of_sources, missing_sources, payload_fields, clean_reasons, dedup_first_hash, embedding_cache_misses, cache_upsert,
     centroid_topn, cosine_to_centroid, noise_share, cluster_assemble, rating_histogram, cluster_rank, fallback_buckets, cluster_density, reduce_dims, silhouette_sampled, hashed_embeddings, prompt_lines, quote_validate,
-    title_dedup, theme_answers, action_word_limit, token_budget_running, latest_states, repeated_sends, anchor_slug, anchor_membership, doc_blocks, utf16_lengths, recent_runs, prior_send, partial_runs, run_decision, run_counts, worst_exit, latest_run,
-    activity_feed, theme_enrich_priority, pulse_summary, star_strip, header_lookup, audit_error_cut, sessions_of_events,
+    title_dedup, theme_answers, action_word_limit, token_budget_running, latest_states, repeated_sends, anchor_slug, anchor_membership, doc_blocks, surviving_themes, utf16_lengths, recent_runs, prior_send, partial_runs, run_decision, run_counts, worst_exit, latest_run,
+    activity_feed, theme_enrich_priority, pulse_summary, star_strip, quote_cut, header_lookup, audit_error_cut, sessions_of_events,
 )
 
 

@@ -66,7 +66,7 @@ def load_config(path: str) -> Config:
         return re.sub(r"\$\{(\w+)\}", one, value)
 
     products = {p["slug"]: Product(**{**p, "pulse_doc_id": expand(p.get("pulse_doc_id", "")), "email_recipients": tuple(p.get("email_recipients", ()))}) for p in data.get("products", [])}
-    return Config(**{**{k: v for k, v in data.items() if k != "products"}, "products": products, "env": os.environ.get("PULSE_ENV", data.get("env", "dev"))})
+    return Config(**{**{k: v for k, v in data.items() if k != "products"}, "products": products, "env": os.environ.get("FEEDLOOM_ENV", data.get("env", "dev"))})
 
 
 def parse_week(week: str) -> tuple[int, int]:

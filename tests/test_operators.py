@@ -135,13 +135,31 @@ def test_prompt_to_theme(spark):
 
 
 def test_report(spark):
-    t = spark.createDataFrame([("r", 0, "fin-trail", "2026-W16", "T" * 90, "s", ["q"], ["a", "b"]), ("r", 1, "fin-trail", "2026-W16", "U", None, None, None)], "run_id string, theme_no int, product string, week string, title string, summary string, quotes array<string>, action_ideas array<string>")
-    got = [(x.theme_no, x.type, x.text, x.anchor) for x in report.doc_blocks(t, ["run_id"]).orderBy("theme_no", "block_no").collect()]
-    assert got[0] == (0, "heading_2", "Fin Trail — Weekly pulse 2026-W16", "pulse-fin-trail-2026-W16")
-    assert [x[1] for x in got] == ["heading_2", "heading_3", "paragraph", "blockquote", "heading_3", "bullet", "bullet", "heading_3", "paragraph"]
-    assert len(got[1][2]) == 80 and all(x[3] is None for x in got[1:])
-    big = [{"title": "<t>", "summary": "s" * 30_000}] * 3
+    days = dt.datetime(2026, 3, 1), dt.datetime(2026, 4, 26)
+    reports = spark.createDataFrame(
+        [("r1", "my-app", "2026-W17", *days, "m1", ["app_store", "play_store"], ["play_store"], 40, 31, True, 9), ("r2", "other", "2026-W17", *days, None, ["app_store"], None, 9, 8, None, 9)],
+        "run_id string, product string, week string, window_start timestamp, window_end timestamp, llm_model string, sources array<string>, missing_sources array<string>, total_in long, total_out long, fallback_used boolean, title int",
+    )
+    q = "array<struct<text: string, review_id: string>>"
+    t = spark.createDataFrame([("r1", 1, "T" * 90, "s", [("q", "id1")], ["a"]), ("r1", 0, "first", "s0", None, None)], f"run_id string, theme_no int, title string, summary string, quotes {q}, action_ideas array<string>")
+    rows = report.doc_blocks(reports, t, ["run_id"]).orderBy("run_id", "block_no").collect()
+    got = [(x.type, x.text, x.attribution) for x in rows if x.run_id == "r1"]
+    assert got == [
+        ("heading_2", "Week of 2026-04-26 (ISO 2026-W17) — 31 reviews", None), ("heading_3", "first", None), ("paragraph", "s0", None), ("heading_3", "T" * 80, None), ("paragraph", "s", None), ("blockquote", "q", "id1"),
+        ("heading_3", "Action ideas", None), ("bullet", "a", None), ("paragraph", "LLM: m1 · Window: 2026-03-01 → 2026-04-26 · Sources: app_store=40, play_store=40", None),
+        ("paragraph", "Low-volume week — themes derived by rating bucket, not clustering.", None), ("paragraph", "Play Store unavailable this week.", None),
+    ]
+    assert [x.anchor for x in rows] == ["pulse-my-app-2026-W17"] + [None] * 10 + ["pulse-other-2026-W17", None]
+    assert report.doc_blocks(reports.limit(0), t, ["run_id"]).count() == 0
+    big = ["<t>" * 20, "x" * 60_000, "y"]
     assert len(report.email_html("S", big, "f").encode()) <= 50_000 and "&lt;t&gt;" in report.email_html("S", big, "f")
+    assert report.email_text("Sub", ["a", "b", "c", "d"], "f").splitlines()[:5] == ["Sub", "", "- a", "- b", "- c"]
+    with pytest.raises(ValueError):
+        report.email_text(report.LINK, ["a"], "f")
+    assert report.email_subject("My App", days[1]) == "Weekly Pulse — My App — Week of 2026-04-26"
+
+
+def test_links(spark):
     link = spark.createDataFrame([(report.LINK + "!",)], "b string").select(report.replace_link(F.col("b"), F.lit("u")))
     assert link.first()[0] == "u!"
     with pytest.raises(Exception, match="no link mark"):
@@ -194,11 +212,38 @@ def test_dashboard(spark):
     got = {x.cluster_id: (x.review_count, x.avg_rating) for x in e.collect()}
     assert got == {0: (3, 2.5), 1: (0, None), 2: (0, None), 3: (2, 4.0)}
     p = {x.cluster_id: x.priority for x in dashboard.prioritised(e, ["run_id"], "cluster_id").collect()}
-    assert p == {0: "Top", 3: "High", 1: "High", 2: "Priority"}
+    assert p == {0: "Top Priority", 3: "High Priority", 1: "High Priority", 2: "Priority"}
     s = dashboard.summary(e, ["run_id"]).first()
     assert (s.n_themes, s.level, s.mood, s.urgent) == (4, "High", "bearish", 1)
 
 
+def test_read_side_texts(spark):
+    runs = spark.createDataFrame([("a", "p", "2026-W10", 5, "ok", "d1", None), ("b", "p", "2026-W11", 4, "ok", "", "doc"), ("c", "p", "2026-W12", 3, "failed", None, None), ("e", "p", "2026-W13", 2, "ok", "d", "x")], "run_id string, product string, iso_week string, started_at int, status string, gmail_draft_id string, doc_id string")
+    got = [(x.label, x.colour) for x in dashboard.activity(runs).orderBy("rank").collect()]
+    assert got == [("Drafted weekly pulse for 2026-W10", "#22c55e"), ("Updated Pulse Doc for 2026-W11", "#22c55e"), ("Run failed for 2026-W12", "#9ca3af")]
+    mails = spark.createDataFrame([("growth.team-one_x@a.example",), (None,), ("",)], "m string").select(dashboard.team_name(F.col("m")).alias("t")).collect()
+    assert [x.t for x in mails] == ["Growth Team One X", None, ""]
+    shown = spark.createDataFrame([(4.0,), (3.0,), (None,), (3.5,)], "a double").select(*dashboard.sentiment_display(F.col("a"))).collect()
+    assert [tuple(x) for x in shown] == [("+10.0%", "up"), ("-10.0%", "down"), ("0.0", "neutral"), ("+0.0%", "up")]
+    cut = spark.createDataFrame([("a" * 130,), ("short",), (None,)], "t string").select(dashboard.shown_quote(F.col("t")).alias("s")).collect()
+    assert [x.s for x in cut] == ["a" * 120 + "…", "short", None]
+
+
+def test_themes_survive_only_with_a_valid_quote(spark):
+    rev = spark.createDataFrame([("x", 1, "The chart is slow & late"), ("y", 2, "other text"), ("z", 3, "not a member")], "review_id string, seq long, text string")
+    members = spark.createDataFrame([("r", c, i) for c in range(5) for i in ("x", "y")], "run_id string, cluster_id int, review_id string")
+    one = lambda title, quotes, ideas=("do it",): (title, "s", quotes, list(ideas))
+    answers = [
+        ("r", 0, one("Slow chart today", [("chart is slow &amp; late", "x"), ("invented", "x")], ["short one", " ".join(["w"] * 13)])), ("r", 1, one("No quote", [("never said", "y")])), ("r", 2, one("slow CHART today", [("other", "y")])),
+        ("r", 3, one("L" * 90, [("not a member", "z"), ("other text", "y")])), ("r", 4, None),
+    ]
+    df = spark.createDataFrame([(*a, a[1]) for a in answers], "run_id string, cluster_id int, theme struct<title: string, summary: string, quotes: array<struct<text: string, review_id: string>>, action_ideas: array<string>>, rank int")
+    got = {x.cluster_id: x for x in themes.surviving(df, members, rev, ["run_id", "cluster_id"], "rank", ["run_id"]).collect()}
+    assert set(got) == {0, 3} and got[3].title == "L" * 60 and [q.review_id for q in got[3].quotes] == ["y"]
+    assert got[0].action_ideas == ["short one"] and len(got[0].quotes) == 1
+    assert themes.surviving(df.limit(0), members, rev, ["run_id", "cluster_id"], "rank", ["run_id"]).count() == 0
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (7, 7), (9, 8), (8, 10), (10, 11), (11, 12), (12, 9), (3, 1), (None, 4)] + [(100, i) for i in range(101, 160)]
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
