@@ -1,4 +1,4 @@
-"""Command line: ``python -m feedloom.cli run|backfill|weeks|list ...``. Exit codes: 0 ok or skipped, 1 failed, 64 usage."""
+"""Command line: ``python -m feedloom.cli run|backfill|weekly|weeks|list|show ...``. Exit codes: 0 ok or skipped, 1 failed, 2 partial, 64 usage."""
 
 from __future__ import annotations
 
@@ -10,13 +10,11 @@ from .plans import pipeline, runplan
 
 
 def _one(spark, config, args, week: str | None) -> dict:
-    plan = runplan.build_plan(config, args.product, week, args.dry_run, None, getattr(args, "force_resend", False))
-    out = pipeline.run(plan, config, spark.read.parquet(args.landed))
-    if out.cleaned is not None and not args.dry_run:
-        from .sources.landed import write_artifact
+    from .sources.audit_log import AuditLog
 
-        write_artifact(out.cleaned.drop("drop_reason"), args.out, "clean", f"{plan.product.slug}-{plan.iso_week}", "parquet")
-    return {"run_id": plan.run_id, "product": plan.product.slug, "iso_week": plan.iso_week, "status": out.status}
+    plan = runplan.build_plan(config, args.product, week, args.dry_run, True if getattr(args, "draft_only", False) else None, getattr(args, "force_resend", False))
+    out = pipeline.execute(spark, plan, config, spark.read.parquet(args.landed), AuditLog(spark, f"{args.out}/audit"), args.out)
+    return {"run_id": plan.run_id, "product": plan.product.slug, "iso_week": plan.iso_week, "status": out.status, "reason": out.reason, **out.counts}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -32,8 +30,17 @@ def main(argv: list[str] | None = None) -> int:
         if name == "run":
             p.add_argument("--week")
             p.add_argument("--force-resend", action="store_true")
+            p.add_argument("--draft-only", action="store_true")
         else:
             p.add_argument("--weeks", required=True, help="A..B")
+    p = sub.add_parser("weekly", help="the last complete week of all products")
+    for name in ("--config", "--landed"):
+        p.add_argument(name, required=True)
+    p.add_argument("--out", default="runs")
+    p.add_argument("--dry-run", action="store_true")
+    one = sub.add_parser("show")
+    one.add_argument("--audit", required=True)
+    one.add_argument("run_id")
     weeks = sub.add_parser("weeks")
     weeks.add_argument("range", help="A..B")
     show = sub.add_parser("list")
@@ -58,7 +65,24 @@ def main(argv: list[str] | None = None) -> int:
             for row in recent(runs.where(runs.product == args.product) if args.product else runs, args.limit).collect():
                 print(json.dumps(row.asDict(), default=str))
             return 0
+        if args.command == "show":
+            from .sources.audit_log import AuditLog
+
+            row = AuditLog(spark, args.audit).get(args.run_id)
+            if row is None:
+                print(f"no run {args.run_id}", file=sys.stderr)
+                return 1
+            print(json.dumps(row.asDict(), default=str))
+            return 0
         config = runplan.load_config(args.config)
+        if args.command == "weekly":
+            from .sources.audit_log import AuditLog
+
+            plans = [runplan.build_plan(config, slug, dry_run=args.dry_run) for slug, p in sorted(config.products.items()) if p.sources]
+            done = pipeline.weekly(spark, config, plans, spark.read.parquet(args.landed), AuditLog(spark, f"{args.out}/audit"), args.out)
+            for run_id, status in done.items():
+                print(json.dumps({"run_id": run_id, "status": status}))
+            return pipeline.exit_code(done.values())
         todo = [args.week] if args.command == "run" else runplan.week_range(*args.weeks.split("..", 1))
         results = [_one(spark, config, args, week) for week in todo]
     except (runplan.PlanError, TypeError) as e:
@@ -66,7 +90,7 @@ def main(argv: list[str] | None = None) -> int:
         return 64
     for r in results:
         print(json.dumps(r))
-    return max(int(r["status"] == "failed") for r in results)
+    return pipeline.exit_code(r["status"] for r in results)
 
 
 if __name__ == "__main__":

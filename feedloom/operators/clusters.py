@@ -21,6 +21,21 @@ def cache_misses(wanted: DataFrame, cache: DataFrame, keys: list[str]) -> DataFr
     return known.join(cache.select(*keys).dropna(), keys, "left_anti")
 
 
+def embed_with_cache(texts: DataFrame, cache: DataFrame, model_version: str, embed=None) -> tuple[DataFrame, DataFrame]:
+    """(vectors, fresh): a vector for each distinct ``text_hash`` of ``texts`` (text_hash, text), and the rows to append to the cache.
+
+    Only hashes that the cache (model_version, text_hash, vector) lacks under this model are embedded, each once, by ``embed(texts, key, text)``;
+    the built-in one hashes tokens. Rows with a null hash get no vector.
+    """
+    known = cache.where((F.col("model_version") == model_version) & F.col("vector").isNotNull()).groupBy("text_hash").agg(F.min_by("vector", "created_at").alias("vector"))
+    distinct = texts.where("text_hash is not null").groupBy("text_hash").agg(F.min("text").alias("text"))
+    misses = distinct.join(known, "text_hash", "left_anti")
+    new = (embed or hashed_embedding)(misses, "text_hash", "text").select("text_hash", F.col("vector").cast("array<float>").alias("vector"))
+    fresh = new.select(F.lit(model_version).alias("model_version"), "text_hash", "vector", F.current_timestamp().alias("created_at"))
+    old = known.join(distinct, "text_hash", "left_semi").select("text_hash", F.col("vector").cast("array<float>").alias("vector"))
+    return old.unionByName(new), fresh
+
+
 def upsert(cache: DataFrame, fresh: DataFrame, keys: list[str], at: str) -> DataFrame:
     """Cache and fresh rows, the latest by ``at`` of each key; ``fresh`` wins at the same time."""
     both = cache.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)))

@@ -114,6 +114,7 @@ class RunPlan:
     dry_run: bool
     draft_only: bool
     force_resend: bool
+    llm_model: str = "extractive"
 
 
 def build_plan(config: Config, slug: str, week: str | None = None, dry_run: bool = False, draft_only: bool | None = None, force_resend: bool = False, now: dt.datetime | None = None) -> RunPlan:

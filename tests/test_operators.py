@@ -192,7 +192,7 @@ def test_audit_log(spark, tmp_path):
     assert log.state().count() == 0
 
     def event(run, status="failed", sent=None, at=AT):
-        return spark.createDataFrame([(run, "p", "2026-W10", AT, None, status, sent, None, None, False, False, at)], log.events().schema)
+        return spark.createDataFrame([(run, "p", "2026-W10", AT, status, sent, at)], "run_id string, product string, iso_week string, started_at timestamp, status string, gmail_message_id string, event_at timestamp")
 
     log.append(event("a"), new_runs=True)
     log.append(event("a", "ok", "m1", AT + dt.timedelta(hours=1)))
@@ -287,6 +287,62 @@ def test_run_plan_and_pipeline(spark, tmp_path):
     assert pipeline.run(plan, config, rows.limit(0)).status == "failed"
 
 
+def test_whole_run(spark, data, tmp_path):
+    from feedloom.plans.runplan import Config, Product
+
+    landed_ = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/raw_review.parquet")
+    config = Config(n_min_reviews=5, products={"fintrail": Product("fintrail", "Fin Trail", "1", "2", "doc1")})
+    log, root, now = AuditLog(spark, str(tmp_path / "log")), str(tmp_path / "out"), dt.datetime(2026, 5, 1, tzinfo=dt.UTC)
+    plan = lambda **k: runplan.build_plan(config, "fintrail", "2026-W17", now=now, **k)
+    sent = lambda *a: {"email_status": "sent", "gmail_message_id": "m1", "doc_revision_id": "7"}
+    first = plan()
+    out = pipeline.execute(spark, first, config, landed_, log, root, sender=sent)
+    assert out.status == "ok" and 0 < out.counts["theme_count"] <= out.counts["cluster_count"] <= 5
+    row = log.get(first.run_id)
+    assert (row.status, row.error, row.gmail_message_id, row.doc_id, row.schema_version) == ("ok", None, "m1", "doc1", 1) and row.ended_at and json.loads(row.corpus_stats_json)["total_out"] > 5
+    kinds = [x.type for x in out.blocks.orderBy("block_no").collect()]
+    assert kinds[0] == "heading_2" and "blockquote" in kinds
+    for name in ("raw", "clean", "clusters", "themes", "doc_report", "email"):
+        assert (tmp_path / "out" / name / f"run_id={first.run_id}").is_dir()
+    cached = spark.read.parquet(f"{root}/embedding_cache").count()
+    again = pipeline.execute(spark, plan(), config, landed_, log, root, sender=sent)
+    assert (again.status, again.reason) == ("skipped", "already_sent") and log.state().count() == 1
+    forced = pipeline.execute(spark, plan(force_resend=True), config, landed_, log, root)
+    assert forced.status == "ok" and spark.read.parquet(f"{root}/embedding_cache").count() == cached
+    few = plan(force_resend=True)
+    assert pipeline.execute(spark, few, Config(n_min_reviews=10_000, products=config.products), landed_, log, root).reason.startswith("too_few_reviews:") and log.get(few.run_id).status == "skipped"
+
+    class Silent:
+        def answers(self, prompts):
+            return prompts.select("cluster_key", F.lit("null").alias("answer"))
+
+    mute = plan(force_resend=True)
+    assert pipeline.execute(spark, mute, config, landed_, log, root, provider=Silent()).status == "failed"
+    assert (log.get(mute.run_id).failed_phase, log.get(mute.run_id).error) == (4, "no_validated_themes")
+    statuses = pipeline.weekly(spark, config, [plan(force_resend=True)], landed_.drop("body"), log, root)
+    assert list(statuses.values()) == ["failed"] and log.get(next(iter(statuses))).error not in (None, "in_flight")
+    assert [pipeline.exit_code(x) for x in ([], ["ok", "skipped"], ["ok", "partial"], ["failed"], ["failed", "partial"])] == [0, 0, 2, 1, 2]
+
+
+def test_log_updates(spark, tmp_path):
+    log = AuditLog(spark, str(tmp_path / "log"))
+    assert log.get("x") is None
+    log.insert(run_id="x", product="p", iso_week="2026-W10", started_at=dt.datetime(2026, 3, 9, tzinfo=dt.UTC), status="failed", error="e" * 9000)
+    assert len(log.get("x").error.encode()) == 8192 + len("…[truncated]".encode())
+    log.update("x", status="ok", theme_count=3, error=None)
+    assert (log.get("x").status, log.get("x").theme_count, log.get("x").error, log.get("x").forced) == ("ok", 3, None, False)
+    for bad, error in (({"product": "q"}, ValueError), ({"nonsense": 1}, ValueError), ({"status": "odd"}, ValueError)):
+        with pytest.raises(error):
+            log.update("x", **bad)
+    with pytest.raises(KeyError):
+        log.update("y", status="ok")
+    with pytest.raises(ValueError):
+        log.insert(run_id="x", product="p", iso_week="2026-W10", started_at=dt.datetime(2026, 3, 9, tzinfo=dt.UTC), status="ok")
+    log.append(log.events().limit(1).withColumn("schema_version", F.lit(9)).withColumn("run_id", F.lit("z")))
+    with pytest.raises(RuntimeError, match="version"):
+        log.check_version()
+
+
 def test_stream(spark, tmp_path):
     text = "the app is good and it works for my family"
     reviews(spark, [r(1, text), r(2, text, rid="r1"), r(3, text), r(4, "short")]).write.parquet(str(tmp_path / "in"))
