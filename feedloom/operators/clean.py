@@ -14,8 +14,8 @@ def cleaned(reviews: DataFrame, source_order: tuple[str, ...] = ("app_store", "p
 
     Title and body are merged and scrubbed; texts of fewer than ``least_tokens`` substantive tokens are short (so is what
     scrubbing emptied), then the language is judged, then the first row of each hash by source order and ``seq``
-    survives. The texts are written once, as two steps read them; only hashes and the
-    order are shuffled. Rows without title and body count as short.
+    survives. The texts are written once, as two steps read them. Only hashes that occur again are joined, and they are written
+    before, so that adaptive execution splits one that many rows share. Rows without title and body count as short.
     """
     order = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in source_order]), F.col("source")), F.lit(0))
     def judged(t):
@@ -26,7 +26,7 @@ def cleaned(reviews: DataFrame, source_order: tuple[str, ...] = ("app_store", "p
     rows = reviews.select("source", "seq", F.concat_ws(":", "source", "review_id").alias("review_id"), order.alias("_ord"), scrubbed.alias("j"))
     once = materialize(rows.select("source", "seq", "review_id", "_ord", "j.text", F.col("j.why").alias("_why")))
     hashed = once.withColumn("text_hash", T.text_hash(F.col("text")))
-    first = hashed.where("_why is null").groupBy("text_hash").agg(F.min(F.struct("_ord", "seq")).alias("_first"))
+    first = materialize(hashed.where("_why is null").groupBy("text_hash").agg(F.min(F.struct("_ord", "seq")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
     joined = hashed.join(first, "text_hash", "left")
     reason = F.coalesce(F.col("_why"), F.when(F.struct("_ord", "seq") > F.col("_first"), "dedup"))
     return joined.select("source", "seq", "review_id", "text", "text_hash", reason.alias("drop_reason"))

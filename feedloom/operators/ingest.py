@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 
 def resolve_sources(registry: DataFrame) -> DataFrame:
@@ -35,20 +36,27 @@ def drop_reasons(reviews: DataFrame, start: str, end: str) -> DataFrame:
     """``reviews`` with ``drop_reason``, the first rule that fails: window, dup, emoji, lang, short; null if kept.
 
     Duplicates are counted inside the window and before the content rules: an id is seen even if its first row is
-    dropped later. Only keys and the order travel through the shuffle that finds them.
+    dropped later. Only keys and the order travel through the shuffle that finds them; ids that occur again are written before they are joined, so
+    that adaptive execution splits one that many rows share.
     """
+    inside, content = _rules(start, end)
+    return _with_reason(reviews.withColumn("_in", inside), content)
+
+
+def _rules(start: str, end: str) -> tuple[Column, Column]:
+    """(whether a review lies in the window, the first content rule it breaks)."""
     lo, hi = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     inside = F.coalesce(F.col("posted_at").cast("timestamp").between(lo, hi), F.lit(False))
-    seen = reviews.where(inside).groupBy("source", "review_id").agg(F.min("seq").alias("_first"))
-    tagged = reviews.withColumn("_in", inside).join(seen, ["source", "review_id"], "left")
     body = F.coalesce(F.col("body"), F.lit(""))
-    reason = (
-        F.when(~F.col("_in"), "window")
-        .when(F.col("seq") > F.col("_first"), "dup")
-        .when(T.has_emoji(F.col("title"), F.col("body")), "emoji")
-        .when(T.is_non_english(T.strip(body)), "lang")
-        .when(T.letter_count(body) < 4, "short")
-    )
+    content = F.when(T.has_emoji(F.col("title"), F.col("body")), "emoji").when(T.is_non_english(T.strip(body)), "lang").when(T.letter_count(body) < 4, "short")
+    return inside, content
+
+
+def _with_reason(rows: DataFrame, content: Column) -> DataFrame:
+    """``rows`` (source, review_id, seq, _in) with ``drop_reason`` instead of _in."""
+    seen = rows.where("_in").groupBy("source", "review_id").agg(F.min("seq").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    tagged = rows.join(materialize(seen), ["source", "review_id"], "left")
+    reason = F.when(~F.col("_in"), "window").when(F.col("seq") > F.col("_first"), "dup").otherwise(content)
     return tagged.withColumn("drop_reason", reason).drop("_in", "_first")
 
 
@@ -56,7 +64,9 @@ def funnel(reviews: DataFrame, start: str, end: str) -> DataFrame:
     """(source, total_in, window_dropped, dedup_dropped, emoji_dropped, lang_dropped, short_dropped, kept, total_dropped)."""
     r = F.col("drop_reason")
     names = (("window", "window_dropped"), ("dup", "dedup_dropped"), ("emoji", "emoji_dropped"), ("lang", "lang_dropped"), ("short", "short_dropped"))
-    return drop_reasons(reviews, start, end).groupBy("source").agg(
+    inside, content = _rules(start, end)
+    judged = reviews.select("source", "review_id", "seq", inside.alias("_in"), content.alias("_content"))  # no text is shuffled
+    return _with_reason(judged, F.col("_content")).groupBy("source").agg(
         F.count(F.lit(1)).alias("total_in"),
         *[F.count_if(F.coalesce(r == k, F.lit(False))).alias(n) for k, n in names],
         F.count_if(r.isNull()).alias("kept"),

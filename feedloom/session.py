@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def build_session(master: str = "local[8]", app: str = "feedloom", **conf: str) -> SparkSession:
@@ -53,7 +54,7 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage and survives the loss of executors. The files are removed when the
-    driver ends, or by ``release``.
+    driver ends, or by ``discard`` and ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/feedloom-{uuid.uuid4().hex}"
@@ -64,17 +65,29 @@ def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if not _OWN:
         atexit.register(release, spark)
     _OWN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(back)] = back, path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a DataFrame that ``materialize`` has returned. What reads them must be consumed before."""
+    _, path = _PATHS.pop(id(df))
+    _OWN.remove(path)
+    _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Remove all files ``materialize`` has written. Results that read them must be consumed before."""
+    _PATHS.clear()
     while _OWN:
-        path = _OWN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may have ended already
-            if path.startswith("file://"):
-                shutil.rmtree(path[len("file://"):], ignore_errors=True)
+        _delete(spark, _OWN.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended already
+        if path.startswith("file://"):
+            shutil.rmtree(path[len("file://") :], ignore_errors=True)

@@ -253,6 +253,38 @@ def test_components(spark):
     assert {x.component for x in connected_components(path).collect()} == {0}
 
 
+@pytest.fixture
+def skewed(spark):
+    """Settings under which a few thousand rows are a skewed partition."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield lambda df: (df.collect(), df._jdf.queryExecution().executedPlan().toString())[1]
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_keys_are_split(spark, skewed):
+    """One id, one text or one node has half of all rows."""
+    text = "concat('the app is good and it works for my family ', if(id % 2 = 0, '', cast(id as string)), repeat('x', 10))"
+    rows = spark.range(6000).repartition(6).selectExpr("id as seq", "'app_store' as source", "if(id % 2 = 0, 'hot', cast(id as string)) as review_id", "'t' as title", f"{text} as body", "timestamp'2026-03-10 00:00:00' as posted_at")
+    assert "skew=true" in skewed(ingest.drop_reasons(rows, *WINDOW))
+    judged = clean.cleaned(rows)
+    assert "skew=true" in skewed(judged) and judged.where("drop_reason is null").count() == 3001
+    f = ingest.funnel(rows, *WINDOW).first()
+    assert (f.total_in, f.dedup_dropped, f.kept) == (6000, 2999, 3001)
+
+
+def test_components_of_a_hub_leave_no_files_behind(spark):
+    from feedloom import session
+
+    before = len(session._OWN)
+    edges = spark.range(1, 3000).selectExpr("0L as a", "id as b").unionByName(spark.range(3000, 3100).selectExpr("id as a", "id + 1 as b"))
+    assert {(x.component, x["count"]) for x in connected_components(edges).groupBy("component").count().collect()} == {(0, 3000), (3000, 101)}
+    assert len(session._OWN) == before + 1
+
+
 def test_landed_sources(spark, tmp_path):
     entry = {"id": {"label": "1"}, "im:rating": {"label": "4"}, "title": {"label": "t"}, "content": {"label": "b"}, "author": {"name": {"label": "n"}}, "updated": {"label": "2026-04-15T10:00:00-07:00"}, "im:version": {"label": "1.0"}}
     pages = {"feed": {"entry": [entry, {**entry, "im:rating": {"label": "9"}}, {k: v for k, v in entry.items() if k != "author"}, {k: v for k, v in entry.items() if k != "id"}]}}
