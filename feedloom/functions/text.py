@@ -184,10 +184,10 @@ def unescape_markup(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&amp;"), F.lit("&")), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">"))
 
 
-def truncate_bytes(text: Column, most: int = 8192, suffix: str = "...[truncated]") -> Column:
-    """At most ``most`` bytes of UTF-8, cut between characters, with a suffix if anything was cut."""
-    clean = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string")), r"\x{FFFD}+$", "")
-    return F.when(F.octet_length(text) > most, F.concat(clean, F.lit(suffix))).otherwise(text)
+def truncate_bytes(text: Column, most: int = 8192, suffix: str = "…[truncated]") -> Column:
+    """At most ``most`` bytes of UTF-8, with a suffix if anything was cut; a character cut in two becomes a replacement character."""
+    head = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, most).cast("string"))
+    return F.when(F.octet_length(text) > most, F.concat(head, F.lit(suffix))).otherwise(text)
 
 
 def jaccard(a: Column, b: Column) -> Column:

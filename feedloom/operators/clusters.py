@@ -216,11 +216,11 @@ def hierarchy_labels(x: np.ndarray, least: int) -> np.ndarray:
 
 
 def silhouette(rows: DataFrame, key: str, label: str, vector: str, sample: int = 200) -> DataFrame:
-    """(n, silhouette) over at most ``sample`` rows, the first in the order of a hash of the key; noise is a label.
+    """(n, silhouette) over at most ``sample`` rows, the first in the order of the md5 of the key; noise is a label.
 
     The sample is the feature here: its pairs are compared in one task. Null with fewer than two labels.
     """
-    some = rows.select(key, label, vector).orderBy(F.xxhash64(key), key).limit(sample)
+    some = rows.select(key, label, vector).orderBy(F.md5(F.col(key).cast("string")), key).limit(sample)
 
     def judge(frames):
         parts = list(frames)

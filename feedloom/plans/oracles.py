@@ -48,6 +48,32 @@ def _with_lang(source: str, text: str) -> str:
         from (select *, {most} as m from {source}))"""
 
 
+def _phone() -> str:
+    """The pattern of telephone numbers without looking ahead: a number after a plus has seven digits or more and stretches over nine characters."""
+    d, gap = r"\p{Nd}", r"[\s\x0b\p{Z}\x{85}\-().]"
+    more = lambda n: f"(?:{gap}*{d}){{{n}}}"
+    eight = [f"{d}{more(k)}{gap}+{d}{more(6 - k)}" for k in range(7)]
+    seven = [f"{d}{more(k)}{gap}{{2,}}{d}{more(5 - k)}" for k in range(6)] + [f"{d}{more(i)}{gap}+{d}{more(j)}{gap}+{d}{more(4 - i - j)}" for i in range(5) for j in range(5 - i)]
+    space = r"[\s\x0b\p{Z}\x{85}]"
+    part = r"[\s\x0b\p{Z}\x{85}\-.]"
+    return "|".join([rf"\+{d}(?:{gap}*{d}){{8,}}", *(rf"\+{x}" for x in eight + seven), rf"\(?{d}{{3,5}}\)?{part}{d}{{3,5}}(?:{part}{d}{{2,}})+", rf"(?:{d}{space}){{6,}}{d}"])
+
+
+URL = r"(?i)https?://\S+"
+EMAIL = r"(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b"
+SPELLED = r"(?i)\b[A-Z0-9._%+\-]+\s*(?:\(\s*at\s*\)|\[\s*at\s*\]|at)\s*[A-Z0-9.\-]+\s*(?:\(\s*dot\s*\)|\[\s*dot\s*\]|dot)\s*[A-Z]{2,}\b"
+
+
+def _scrubbed(source: str, text: str) -> str:
+    """``source`` with t0 to t5, the text expression after each step of the chain; numbers beside a full stop are no accounts, which captured neighbours tell."""
+    beside = r"[^.\p{L}\p{M}\p{N}_]"
+    once = lambda x: f"regexp_replace({x}, '(^|{beside})\\p{{Nd}}{{10,16}}($|{beside})', '\\1[account]\\2', 'g')"
+    chain = f"(select *, translate({text}, '{ARABIC_INDIC}', '0123456789') as t0 from {source})"
+    for i, (kind, pattern) in enumerate((("url", URL), ("email", EMAIL), ("email", SPELLED), ("phone", _phone()))):
+        chain = f"(select *, regexp_replace(t{i}, '{pattern}', '[{kind}]', 'g') as t{i + 1} from {chain})"
+    return f"(select *, {once(once('t4'))} as t5 from {chain})"
+
+
 _SPEC_MEMBERS = """
   listed as (select distinct run_id, cluster_id, unnest(member_review_ids) as review_id from review_cluster),
   known as (select review_id, arg_min(rating, seq) as rating from (select review_id, seq, rating from clean_review) group by 1),
@@ -57,9 +83,8 @@ _SPEC_MEMBERS = """
 
 def oracle_sql() -> dict[str, str]:
     digits = f"translate(text, '{ARABIC_INDIC}', '0123456789')"
-    url = r"(?i)https?://\S+"
-    email = r"(?i)\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b"
-    spelled = r"(?i)\b[A-Z0-9._%+\-]+\s*(?:\(\s*at\s*\)|\[\s*at\s*\]|at)\s*[A-Z0-9.\-]+\s*(?:\(\s*dot\s*\)|\[\s*dot\s*\]|dot)\s*[A-Z]{2,}\b"
+    url = URL
+    email, spelled = EMAIL, SPELLED
     iso = "strftime(posted_at, '%Y-%m-%dT%H:%M:%S') || case when extract(microsecond from posted_at) % 1000000 <> 0 then '.' || strftime(posted_at, '%f') else '' end || '+00:00'"
     week = "strftime(posted_at, '%G-W%V')"
     quarter = "'Q' || least((right({0}, 2)::int - 1) // 13 + 1, 4) || ' ' || left({0}, 4)"
@@ -86,6 +111,16 @@ def oracle_sql() -> dict[str, str]:
       n as (select run_id, cluster_id, count(review_id) as review_count, avg(rating) as avg_rating from listed left join first_rating using (review_id) group by 1, 2),
       t as (select run_id, cluster_id, coalesce(review_count, 0) as review_count, avg_rating from (select run_id, cluster_id from review_cluster) left join n using (run_id, cluster_id))"""
     tokens = "regexp_split_to_array(lower({0}), '" + _WS + "+')"
+    # the judged rows of cleaning: merged, scrubbed, too short, in another language, repeated
+    judged = f"""
+      with a as (select source, seq, review_id, t5 as text from {_scrubbed('raw_review', _merged())}),
+      b as (select *, len(list_filter({_tokens('text')}, lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}_]'))) < 5 as short, sha256({_norm('text')}) as hash from ({_with_lang('a', 'text')})),
+      c as (select *, case when short then 'short' when non_english then 'lang' end as why from b),
+      k as (select *, coalesce(why, case when row_number() over (partition by hash, why is null order by case source when 'app_store' then 1 when 'play_store' then 2 else 0 end, seq) > 1 then 'dedup' end) as drop_reason from c)"""
+    points = """
+      s as (select vec_id, case when label = 9 then -1 else label end as label, list_transform(embedding, lambda x: x::double) as x from embeddings order by md5(vec_id::varchar), vec_id limit 200),
+      g as (select a.vec_id, a.label as own, b.label as other, sum(list_distance(a.x, b.x)) as total, count(*) as n from s a join s b on true group by 1, 2, 3),
+      m as (select vec_id, max(total / greatest(n - 1, 1)) filter (own = other) as a, max(n) filter (own = other) as n, min(total / n) filter (own <> other) as b from g group by 1)"""
     return {
         "merge_title_body": f"select seq, {_merged()} as text from raw_review",
         "text_normalize_hash": f"select seq, {_norm('text')} as normalized, sha256({_norm('text')}) as hash from clean_review",
@@ -97,6 +132,21 @@ def oracle_sql() -> dict[str, str]:
         "pii_counts": f"""
           select doc_id, len(regexp_extract_all(t0, '{url}')) as url, len(regexp_extract_all(t1, '{email}')) + len(regexp_extract_all(regexp_replace(t1, '{email}', '[email]', 'g'), '{spelled}')) as email
           from (select doc_id, t0, regexp_replace(t0, '{url}', '[url]', 'g') as t1 from (select doc_id, {digits} as t0 from documents))""",
+        "pii_scrub": f"""
+          select doc_id, t5 as text, len(regexp_extract_all(t0, '{url}')) as url, len(regexp_extract_all(t1, '{email}')) + len(regexp_extract_all(t2, '{spelled}')) as email, len(regexp_extract_all(t3, '{_phone()}')) as phone,
+            len(string_split(t5, '[account]')) - len(string_split(t4, '[account]')) as account from {_scrubbed('documents', 'text')}""",
+        "clean_reasons": f"{judged} select seq, source || ':' || review_id as review_id, drop_reason from k",
+        "corpus_stats": f"""{judged} select source, count(*) as total_in, count(*) filter (drop_reason is null) as total_out, 0::bigint as dropped_pii, count(*) filter (drop_reason = 'short') as dropped_short,
+          count(*) filter (drop_reason = 'lang') as dropped_lang, count(*) filter (drop_reason = 'dedup') as dedup_count from k group by 1""",
+        "union_rows": "select source, seq, rating from raw_review where source in ('app_store', 'play_store', 'web_forum')",
+        "silhouette_sampled": f"with {points.lstrip()} select count(*) as n, round(avg(case when n > 1 then (b - a) / greatest(a, b, 1e-12) else 0 end), 6) as silhouette from m",
+        "theme_answers": f"""
+          with l as (select run_id, cluster_id, unnest(centroid_review_ids) as review_id, unnest(range(len(centroid_review_ids))) as rank from review_cluster),
+          f as (select run_id, cluster_id, arg_min({unescaped.format(escaped.format("coalesce(text, '')"))}, rank) as t from l join {first_text} using (review_id) group by 1, 2)
+          select run_id, cluster_id, array_to_string(({_tokens('t')})[1:6], ' ') as title from f where t <> ''""",
+        "audit_error_cut": """
+          with n as (select doc_id, text, case when strlen(text) > 300 then list_max(list_filter(range(0, 301), lambda i: strlen(left(text, i)) <= 300)) end as n from documents)
+          select doc_id, case when n is null then text else left(text, n) || case when strlen(left(text, n)) < 300 then chr(65533) else '' end || '…[truncated]' end as cut from n""",
         "synthetic_ids": f"select seq, 'synth_' || left(sha256(coalesce(author, '') || '|' || {iso} || '|' || left(coalesce(body, ''), 200)), 16) as synthetic_id, source || ':' || review_id as prefixed_id from raw_review",
         "iso_weeks": f"select {week} as iso_week, {quarter.format(week)} as quarter, count(*) as n from raw_review group by 1, 2",
         "week_windows": f"""
@@ -211,5 +261,5 @@ def oracle_sql() -> dict[str, str]:
             union all select run_id, 4, 0, 0, 'paragraph', 'Play Store unavailable this week.', null, null from r where n < 40)
           select run_id, row_number() over (partition by run_id order by a, b, c) - 1 as block_no, type, text, anchor, attribution from b""",
         "header_lookup": "select event_id as message_id from events where json_extract_string(props, '$.k') = '69' order by 1 limit 20",
-        "sessions_of_events": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
+        "event_days": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
     }

@@ -119,6 +119,11 @@ def union_of_sources(s, d):
     return ingest.union_sources(parts)[1]
 
 
+def union_rows(s, d):
+    raw = _t(s, d, "raw_review").select("source", "seq", "rating")
+    return ingest.union_sources({x: raw.where(F.col("source") == x) for x in ("app_store", "play_store", "web_forum")})[0]
+
+
 def missing_sources(s, d):
     want = ingest.resolve_sources(_t(s, d, "product_registry")).select(F.col("slug").alias("product"), F.explode("sources").alias("source"))
     return report.source_notes(ingest.missing_sources(want, _t(s, d, "clean_review"), ["product", "source"]))
@@ -199,9 +204,10 @@ def fallback_buckets(s, d):
 
 
 def cluster_density(s, d):
-    """Density labels of the given vectors, grouped by label so that groups stay small."""
-    rows = _t(s, d, "embeddings")
-    return clusters.density_labels(rows.withColumnRenamed("label", "grp"), ["grp"], "vec_id", "embedding")
+    """Density labels of all vectors, in runs of about a thousand drawn by a hash of the id."""
+    rows = _t(s, d, "embeddings").select("vec_id", "embedding")
+    runs = max(1, rows.count() // 1000)
+    return clusters.density_labels(rows.withColumn("run", F.pmod(F.xxhash64("vec_id"), F.lit(runs))), ["run"], "vec_id", "embedding")
 
 
 def reduce_dims(s, d):
@@ -210,7 +216,7 @@ def reduce_dims(s, d):
 
 
 def silhouette_sampled(s, d):
-    return clusters.silhouette(_labelled(s, d), "vec_id", "label", "embedding")
+    return clusters.silhouette(_labelled(s, d), "vec_id", "label", "embedding").select("n", F.round("silhouette", 6).alias("silhouette"))
 
 
 def hashed_embeddings(s, d):
@@ -386,20 +392,20 @@ def header_lookup(s, d):
 
 
 def audit_error_cut(s, d):
-    return _t(s, d, "documents").select("doc_id", F.octet_length(T.truncate_bytes(F.col("text"), 300)).cast("long").alias("bytes"))
+    return _t(s, d, "documents").select("doc_id", T.truncate_bytes(F.col("text"), 300).alias("cut"))
 
 
-def sessions_of_events(s, d):
+def event_days(s, d):
     """Tumbling days of events: the batch form of the weekly stream counts."""
     return _t(s, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 _ALL = (
     corpus_stats, merge_title_body, text_normalize_hash, text_hash_check, emoji_flag, letters_filter, token_filter, language_gate, pii_counts, pii_scrub, synthetic_ids, iso_weeks, week_windows, last_completed_weeks,
-    week_ranges, source_resolution, window_filter, window_dedup, ingest_funnel, source_cap, union_of_sources, missing_sources, payload_fields, clean_reasons, dedup_first_hash, embedding_cache_misses, cache_upsert,
+    week_ranges, source_resolution, window_filter, window_dedup, ingest_funnel, source_cap, union_of_sources, union_rows, missing_sources, payload_fields, clean_reasons, dedup_first_hash, embedding_cache_misses, cache_upsert,
     centroid_topn, cosine_to_centroid, noise_share, cluster_assemble, rating_histogram, cluster_rank, fallback_buckets, cluster_density, reduce_dims, silhouette_sampled, hashed_embeddings, prompt_lines, quote_validate,
     title_dedup, theme_answers, action_word_limit, token_budget_running, latest_states, repeated_sends, anchor_slug, anchor_membership, doc_blocks, surviving_themes, utf16_lengths, recent_runs, prior_send, partial_runs, run_decision, run_counts, worst_exit, latest_run,
-    activity_feed, theme_enrich_priority, pulse_summary, star_strip, quote_cut, header_lookup, audit_error_cut, sessions_of_events,
+    activity_feed, theme_enrich_priority, pulse_summary, star_strip, quote_cut, header_lookup, audit_error_cut, event_days,
 )
 
 
