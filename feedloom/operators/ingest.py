@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -74,14 +74,32 @@ def funnel(reviews: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
-def union_sources(parts: dict[str, DataFrame], least: int = 1) -> tuple[DataFrame, DataFrame]:
-    """All rows of the sources, and one status row for each: ok, or empty below ``least`` rows."""
+def source_status(reviews: DataFrame, most: int) -> DataFrame:
+    """(source, n, capped): how many rows each source has after ``cap_per_source``, and whether the cap was reached."""
+    return reviews.groupBy("source").agg(F.least(F.count(F.lit(1)), F.lit(most)).alias("n"), (F.count(F.lit(1)) >= most).alias("capped"))
+
+
+def union_sources(parts: dict[str, DataFrame | None], least: int = 1) -> tuple[DataFrame | None, DataFrame]:
+    """All rows of the sources, and one status row for each: ok, empty below ``least`` rows, or failed for a source without a DataFrame.
+
+    One failed source doesn't stop the others; see ``nothing_came``. The rows are None if all failed.
+    """
     rows, stats = None, None
     for source, df in sorted(parts.items()):
-        one = df.agg(F.lit(source).alias("source"), F.count(F.lit(1)).alias("n"))
-        rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
+        if df is None:
+            session = next((x for x in parts.values() if x is not None), None)
+            one = (session.sparkSession if session is not None else SparkSession.active()).createDataFrame([(source, 0, "failed")], "source string, n long, status string")
+        else:
+            one = df.agg(F.lit(source).alias("source"), F.count(F.lit(1)).alias("n")).withColumn("status", F.when(F.col("n") >= least, "ok").otherwise("empty"))
+            rows = df if rows is None else rows.unionByName(df, allowMissingColumns=True)
         stats = one if stats is None else stats.unionByName(one)
-    return rows, stats.withColumn("status", F.when(F.col("n") >= least, "ok").otherwise("empty"))
+    return rows, stats
+
+
+def nothing_came(stats: DataFrame) -> bool:
+    """Whether no source is ok and no row came: then a run cannot go on."""
+    row = stats.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.bool_or(F.col("status") == "ok"), F.lit(False)).alias("ok")).first()
+    return not row["n"] and not row["ok"]
 
 
 def missing_sources(configured: DataFrame, present: DataFrame, keys: list[str]) -> DataFrame:

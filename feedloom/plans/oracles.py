@@ -166,6 +166,7 @@ def oracle_sql() -> dict[str, str]:
           select source, count(*) as total_in, count(*) filter (why = 'window') as window_dropped, count(*) filter (why = 'dup') as dedup_dropped, count(*) filter (why = 'emoji') as emoji_dropped,
             count(*) filter (why = 'lang') as lang_dropped, count(*) filter (why = 'short') as short_dropped, count(*) filter (why is null) as kept, count(why) as total_dropped from w group by 1""",
         "source_cap": "select source, seq from raw_review qualify row_number() over (partition by source order by seq) <= 500",
+        "source_caps": "select source, least(count(*), 500) as n, count(*) >= 500 as capped from raw_review group by 1",
         "union_of_sources": "select s as source, count(seq) as n, case when count(seq) >= 1 then 'ok' else 'empty' end as status from (values ('app_store'), ('play_store'), ('web_forum')) v(s) left join raw_review on source = s group by 1",
         "missing_sources": f"""
           with w as (select slug as product, 'app_store' as source from product_registry where coalesce(app_store_id, '') <> '' union all select slug, 'play_store' from product_registry where coalesce(play_store_id, '') <> '')

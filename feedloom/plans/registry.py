@@ -113,6 +113,10 @@ def source_cap(s, d):
     return ingest.cap_per_source(_t(s, d, "raw_review"), 500).select("source", "seq")
 
 
+def source_caps(s, d):
+    return ingest.source_status(_t(s, d, "raw_review"), 500)
+
+
 def union_of_sources(s, d):
     raw = _t(s, d, "raw_review").select("source", "seq")
     parts = {x: raw.where(F.col("source") == x) for x in ("app_store", "play_store", "web_forum")}
@@ -402,7 +406,7 @@ def event_days(s, d):
 
 _ALL = (
     corpus_stats, merge_title_body, text_normalize_hash, text_hash_check, emoji_flag, letters_filter, token_filter, language_gate, pii_counts, pii_scrub, synthetic_ids, iso_weeks, week_windows, last_completed_weeks,
-    week_ranges, source_resolution, window_filter, window_dedup, ingest_funnel, source_cap, union_of_sources, union_rows, missing_sources, payload_fields, clean_reasons, dedup_first_hash, embedding_cache_misses, cache_upsert,
+    week_ranges, source_resolution, window_filter, window_dedup, ingest_funnel, source_cap, source_caps, union_of_sources, union_rows, missing_sources, payload_fields, clean_reasons, dedup_first_hash, embedding_cache_misses, cache_upsert,
     centroid_topn, cosine_to_centroid, noise_share, cluster_assemble, rating_histogram, cluster_rank, fallback_buckets, cluster_density, reduce_dims, silhouette_sampled, hashed_embeddings, prompt_lines, quote_validate,
     title_dedup, theme_answers, action_word_limit, token_budget_running, latest_states, repeated_sends, anchor_slug, anchor_membership, doc_blocks, surviving_themes, utf16_lengths, recent_runs, prior_send, partial_runs, run_decision, run_counts, worst_exit, latest_run,
     activity_feed, theme_enrich_priority, pulse_summary, star_strip, quote_cut, header_lookup, audit_error_cut, event_days,

@@ -299,6 +299,41 @@ def test_landed_sources(spark, tmp_path):
     assert spark.read.json(path).count() == 7
 
 
+def test_feed_pages_are_read_as_far_as_needed(spark, tmp_path):
+    entry = lambda i, day: {"id": {"label": str(i)}, "im:rating": {"label": "4"}, "content": {"label": "b"}, "author": {"name": {"label": "n"}}, "updated": {"label": f"2026-04-{day:02d}T10:00:00Z"}}
+
+    def status(pages, most=100):
+        folder = tmp_path / str(len(list(tmp_path.iterdir())))
+        folder.mkdir()
+        for n, page in pages.items():
+            (folder / f"page-{n}.json").write_text(page if isinstance(page, str) else json.dumps({"feed": {"entry": page} if page is not None else {}}))
+        rows, one = landed.feed_in_order(spark, str(folder), "p", dt.datetime(2026, 4, 10), most)
+        r = one.first()
+        return sorted(int(x.review_id) for x in rows.collect()), r.status, r.pages, r.capped
+
+    three = {1: [entry(1, 20), entry(2, 19)], 2: [entry(3, 15), entry(4, 12)], 3: [entry(5, 11)]}
+    assert status(three) == ([1, 2, 3, 4, 5], "ok", 3, False)
+    assert status({**three, 2: [entry(3, 15), entry(4, 2)]}) == ([1, 2, 3, 4], "ok", 2, False)
+    assert status({1: three[1], 3: three[3]}) == ([1, 2], "ok", 1, False)
+    assert status({**three, 2: "{broken"}) == ([1, 2], "ok", 1, False)
+    assert status({**three, 1: "{broken"}) == ([], "failed", 0, False)
+    assert status({1: None}) == ([], "empty", 0, False)
+    assert status({1: [{"title": {"label": "the app itself"}}], 2: three[2]}) == ([], "empty", 0, False)
+    assert status({n: [entry(n, 20)] for n in range(1, 12)}) == (list(range(1, 12)), "ok", 11, False)
+    assert status(three, 3) == ([1, 2, 3], "ok", 3, True)
+
+
+def test_failed_sources_and_artifacts(spark, tmp_path):
+    some = spark.createDataFrame([("a", 1)], "source string, seq int")
+    rows, stats = ingest.union_sources({"a": some, "b": None, "c": some.limit(0)})
+    assert rows.count() == 1 and {(x.source, x.status) for x in stats.collect()} == {("a", "ok"), ("b", "failed"), ("c", "empty")} and not ingest.nothing_came(stats)
+    rows, stats = ingest.union_sources({"a": None, "b": None})
+    assert rows is None and ingest.nothing_came(stats)
+    landed.write_artifact(spark.createDataFrame([("text", f"Subject \n\nlink {report.LINK}\n")], "kind string, body string"), str(tmp_path), "email", "r1")
+    assert landed.read_email(spark, str(tmp_path), "r1", report.LINK) == ("Subject", "Subject \n\nlink") and landed.read_email(spark, str(tmp_path), "r2", report.LINK) == ("", "")
+    assert landed.read_artifact(spark, str(tmp_path), "nothing", "r1").count() == 0
+
+
 def test_run_plan_and_pipeline(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"n_min_reviews": 1, "products": [{"slug": "p", "app_store_id": "1", "pulse_doc_id": "${DOC_OF_P}"}]}))
     with pytest.raises(runplan.PlanError):
