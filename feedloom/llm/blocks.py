@@ -86,9 +86,9 @@ def groups_of(vectors: DataFrame) -> pd.DataFrame:
     return vectors.groupBy("model_version", "dim").agg(F.count(F.lit(1)).alias("rows")).toPandas().sort_values(["model_version", "dim"], ignore_index=True)
 
 
-def sample_size(rows: int, cells: int) -> int:
-    """Rows a router of ``cells`` cells is fitted on: enough for each cell, within a bound."""
-    return min(MOST_SAMPLE, max(SAMPLE_ROWS, CELL_POINTS * cells))
+def sample_size(cells: int, points: int = CELL_POINTS) -> int:
+    """Rows a router of ``cells`` cells is fitted on: ``points`` for each cell, within bounds."""
+    return min(MOST_SAMPLE, max(SAMPLE_ROWS, points * cells))
 
 
 def _drawn(vectors: DataFrame, groups: pd.DataFrame, wanted: list[int], seed: int) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -16,8 +16,12 @@ _CYRILLIC = "аеорсухіјѕһԁԛԝӏАВЕКМНОРСТУХІЈЅԚԜӀ"
 _CYRILLIC_AS = "aeopcyxijshdqwlABEKMHOPCTYXIJSQWI"
 _GREEK = "οναρυιγΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ"
 _GREEK_AS = "ovapuiyABEZHIKMNOPTYXcj"
-_OTHER = "օսցհոզɡɑı"
-_OTHER_AS = "oughnqgai"
+_OTHER = "օսցհոզɡɑıѵѴԌ"
+_OTHER_AS = "oughnqgaivVG"
+_ARMENIAN_CHEROKEE = "ՏՕՍᎪᏴᏟᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ"
+_ARMENIAN_CHEROKEE_AS = "SOUABCEGHJKLMPSTVWZ"
+_ROMAN = "ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ"
+_ROMAN_AS = "IVXLCDMivxlcdm"
 # Ligatures and the letters they stand for.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ŉ": "ʼn", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj"}
 
@@ -30,7 +34,7 @@ def tables() -> tuple[str, str, str]:
     one becomes it; format characters, soft hyphens and variation selectors vanish; look-alike letters, also under
     an accent, become the Latin letter (under the same accent).
     """
-    alike = dict(zip(_CYRILLIC + _GREEK + _OTHER, _CYRILLIC_AS + _GREEK_AS + _OTHER_AS))
+    alike = dict(zip(_CYRILLIC + _GREEK + _OTHER + _ARMENIAN_CHEROKEE + _ROMAN, _CYRILLIC_AS + _GREEK_AS + _OTHER_AS + _ARMENIAN_CHEROKEE_AS + _ROMAN_AS))
     pairs, gone = dict(alike), []
     for point in range(0xA0, sys.maxunicode + 1):
         char = chr(point)

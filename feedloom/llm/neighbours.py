@@ -137,7 +137,7 @@ def most_similar(cache: DataFrame, k: int = 5, min_cosine: float = 0.75, recall:
         searched = materialize(vectors.join(rest, "id", "left_anti"))
     groups = blocks.groups_of(searched)
     leaves = [leaf_rows or leaf_size(int(g.rows)) for g in groups.itertuples()]
-    wanted = [sample_rows or blocks.sample_size(int(g.rows), 2 * int(g.rows) // n) for n, g in zip(leaves, groups.itertuples())]
+    wanted = [sample_rows or blocks.sample_size(2 * int(g.rows) // n) for n, g in zip(leaves, groups.itertuples())]
     routers = [TreeRouter(Tree.fit(unit_rows(s), int(g.rows), n)) for s, g, n in zip(blocks.sample_of(searched, groups, wanted), groups.itertuples(), leaves)]
     margins = _calibrate(searched, groups, routers, k, min_cosine, recall)
     found = blocks.meet(searched, routers, groups, margins, best_of_block(k, min_cosine), "id long, other long, cosine double")

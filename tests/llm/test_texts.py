@@ -86,6 +86,25 @@ def test_look_alikes(spark):
     assert {r.canonical for r in lookalikes.look_alike_rows(df).collect()} == {min(texts[i] for i in same[0]), "fine"}
 
 
+def test_look_alike_classes_in_other_scripts(spark):
+    """Texts of one script fall into different coarse groups; repeated rows, nulls, very long and empty texts."""
+    texts = ["यह ऐप अच्छा है", "यह\u200b ऐप अच्छा है", "यह ऐप बुरा है", "यह ऐप बुरा है", "क़लम", "क\u093cलम", "これは本", "これは\u2060本", "これは木", "😀😀", "😀\ufe0f😀", "😀🎉", None, "", "", "long " * 50_000, "l\u043eng " * 50_000, "가나", "\u1100\u1161\u1102\u1161", "Ⅴ", "V", "Ꭺ", "A"]
+    rows = [("t", i, t) for i, t in enumerate(texts)] + [("t", 0, texts[0]), ("u", 0, texts[1])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "tbl string, row_id long, text string, coarse string, e1 int")
+    want = [{0, 1}, {4, 5}, {6, 7}, {9, 10}, {15, 16}, {17, 18}, {19, 20}, {21, 22}]
+    got = lookalikes.look_alike_classes(df).collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r.class_id, set()).add(r.row_id)
+    assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want))
+    assert {(r.class_id, r.class_rows, r.class_texts) for r in got} == {(min(w), 2 + (0 in w), 2) for w in want}
+    assert len(got) == 17  # a repeated row is there twice
+    assert {(r.row_a, r.row_b) for r in lookalikes.look_alike_pairs(df).collect()} == {tuple(sorted(w)) for w in want}
+    assert lookalikes.look_alike_classes(df.limit(0)).count() == 0
+    coarse = df.where("row_id in (0, 2, 6, 8, 9, 11) and text is not null").select(lookalikes._coarse(lookalikes.consistent(df.text)).alias("c")).distinct()
+    assert coarse.count() == 6
+
+
 def test_hot_class_is_salted_without_loss(spark):
     df = spark.createDataFrame([("t", i, "ok" if i % 50 else "оk") for i in range(600)], "tbl string, row_id long, text string")
     got = {(r.row_a, r.row_b) for r in lookalikes.look_alike_pairs(df, salt_rows=40).collect()}

@@ -105,6 +105,7 @@ def test_nothing_to_compare(spark, rows):
     assert neighbours.similar_pairs(cache).count() == 0
     assert clusters.similarity_clusters(cache).count() == 0
     assert clusters.cluster_report(cache).count() == 0
+    assert clusters.mixture_clusters(cache).count() == (1 if rows and rows[0] and any(rows[0]) else 0)
 
 
 def test_hot_cluster_of_near_and_exact_copies(spark):
@@ -136,6 +137,39 @@ def test_mixture_prefers_the_true_number_of_parts():
     assert Mixture.fit(x, [1, 3, 12], dims=3).n_cells == 3
 
 
+def test_mixture_clusters_cover_all_vectors(spark, vectors, monkeypatch):
+    monkeypatch.setattr(clusters, "CELL_ROWS", 8)
+    found = clusters.mixture_clusters(cache_of(spark, vectors)).collect()
+    assert sum(r.size for r in found) == len(vectors) - 5 and len(found) > 3  # five are not valid
+    assert all(len(set(r.typical_ids)) == min(5, r.size) for r in found)
+
+
+def test_many_cells_against_brute_force(spark, data):
+    """11,000 vectors: a tree of several leaves and a mixture of several components."""
+    cache = spark.read.parquet(f"{data.replace('sf0.001', 'sf0.1')}/embedding_cache.parquet").where("model_version = 'quill-embed-v2'")
+    frame = cache.toPandas().sort_values("cache_id")
+    good = [v is not None and len(v) == d and bool(np.isfinite(v).all()) and bool(np.any(v)) for v, d in zip(frame.vector, frame.dim)]
+    ids, x = frame.cache_id[good].to_numpy(), np.stack(frame.vector[good].to_list()).astype(np.float32)
+    label = np.arange(len(ids))
+    for r, c in clusters.exact_links(x, x, 0.75):
+        label = clusters.merge(label, r, c)
+    size = np.bincount(label, minlength=len(ids))
+    want = {(int(ids[k]), int(i)) for k, i in zip(label, ids) if size[k] >= 5}
+    got = {(r.cluster_key, r.cache_id) for r in clusters.similarity_clusters(cache).collect()}
+    assert len(ids) > 2 * clusters.CELL_ROWS and len(got & want) >= 0.999 * max(len(got), len(want))
+    u = x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None]
+    pairs = set()
+    for a in range(0, len(ids), 1000):
+        s = np.round(u[a : a + 1000] @ u.T, 9)
+        for i in range(len(s)):
+            s[i, a + i] = -2
+            near = np.flatnonzero(s[i] >= 0.75)
+            near = near[np.lexsort((ids[near], -s[i, near]))][:5]
+            pairs |= {(min(ids[a + i], ids[j]), max(ids[a + i], ids[j])) for j in near}
+    found = {(r.cache_a, r.cache_b) for r in neighbours.similar_pairs(cache).collect()}
+    assert len(found & pairs) >= 0.97 * max(len(found), len(pairs))
+
+
 def test_recall_on_the_tables(spark, data):
     cache = spark.read.parquet(f"{data}/embedding_cache.parquet")
     frame = cache.toPandas()
