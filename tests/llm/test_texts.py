@@ -88,7 +88,7 @@ def test_look_alikes(spark):
 
 def test_look_alike_classes_in_other_scripts(spark):
     """Texts of one script fall into different coarse groups; repeated rows, nulls, very long and empty texts."""
-    texts = ["यह ऐप अच्छा है", "यह\u200b ऐप अच्छा है", "यह ऐप बुरा है", "यह ऐप बुरा है", "क़लम", "क\u093cलम", "これは本", "これは\u2060本", "これは木", "😀😀", "😀\ufe0f😀", "😀🎉", None, "", "", "long " * 50_000, "l\u043eng " * 50_000, "가나", "\u1100\u1161\u1102\u1161", "Ⅴ", "V", "Ꭺ", "A"]
+    texts = ["यह ऐप अच्छा है", "यह\u200b ऐप अच्छा है", "यह ऐप बुरा है", "यह ऐप बुरा है", "\u0958लम", "क\u093cलम", "これは本", "これは\u2060本", "これは木", "😀😀", "😀\ufe0f😀", "😀🎉", None, "", "", "long " * 50_000, "l\u043eng " * 50_000, "가나", "\u1100\u1161\u1102\u1161", "Ⅴ", "V", "Ꭺ", "A"]
     rows = [("t", i, t) for i, t in enumerate(texts)] + [("t", 0, texts[0]), ("u", 0, texts[1])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "tbl string, row_id long, text string, coarse string, e1 int")
     want = [{0, 1}, {4, 5}, {6, 7}, {9, 10}, {15, 16}, {17, 18}, {19, 20}, {21, 22}]
