@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from . import blocks
 from .kmtree import Tree, unit_rows
 
@@ -61,8 +61,8 @@ def best_of_block(k: int, min_cosine: float):
         out = []
         if len(qid) and len(mid):
             mu = unit_rows(m)
-            m64 = m.astype(np.float64)
-            m64 /= np.sqrt(np.einsum("ij,ij->i", m64, m64))[:, None]
+            long = np.sqrt(np.einsum("ij,ij->i", m, m, dtype=np.float64))
+            m64 = lambda c: m[c].astype(np.float64) / long[c][:, None]
             step = max(64, (1 << 22) // max(1, len(mid)))
             for s in range(0, len(qid), step):
                 ids, raw = qid[s : s + step], q[s : s + step]
@@ -88,9 +88,9 @@ def best_of_block(k: int, min_cosine: float):
                     full[r[last]] = v[last] >= kth[r[last]] - 4e-6
                 keep = (rank < take) & ~full[r]
                 r, c = r[keep], c[keep]
-                cos = np.einsum("ij,ij->i", q64[r], m64[c])
+                cos = np.einsum("ij,ij->i", q64[r], m64(c))
                 for i in np.flatnonzero(full):
-                    exact = m64 @ q64[i]
+                    exact = m64(slice(None)) @ q64[i]
                     near = np.flatnonzero(exact >= min_cosine - 1e-9)
                     near = near[np.lexsort((mid[near], -np.round(exact[near], 9)))][: k + 1]
                     r, c, cos = np.concatenate([r, np.full(len(near), i)]), np.concatenate([c, near]), np.concatenate([cos, exact[near]])
@@ -107,6 +107,19 @@ def best_of_block(k: int, min_cosine: float):
     return kernel
 
 
+def best_of_task(k: int):
+    """The ``k`` best of each query among what ``best_of_block`` has found in several blocks."""
+
+    def fold(found: pd.DataFrame) -> pd.DataFrame:
+        a, b, cos = (found[c].to_numpy() for c in ("id", "other", "cosine"))
+        order = np.lexsort((b, -cos, a))
+        a, b, cos = a[order], b[order], cos[order]
+        best = np.arange(len(a)) - np.searchsorted(a, a) < k
+        return pd.DataFrame({"id": a[best], "other": b[best], "cosine": cos[best], "rank": (np.arange(len(a)) - np.searchsorted(a, a) + 1)[best].astype(np.int32)})
+
+    return fold
+
+
 def most_similar(cache: DataFrame, k: int = 5, min_cosine: float = 0.75, recall: float = RECALL, leaf_rows: int | None = None, sample_rows: int | None = None) -> DataFrame:
     """(id, other, cosine, rank): the ``k`` vectors of the same model version most similar to each vector.
 
@@ -135,13 +148,13 @@ def most_similar(cache: DataFrame, k: int = 5, min_cosine: float = 0.75, recall:
         rest = ranked.join(first, "id", "left_anti").join(first.where(F.col("r") == k + 1).select(*keys, F.col("id").alias("lead")), keys)
         rest = materialize(rest.select("id", "lead"))
         searched = materialize(vectors.join(rest, "id", "left_anti"))
+        discard(vectors)
     groups = blocks.groups_of(searched)
     leaves = [leaf_rows or leaf_size(int(g.rows)) for g in groups.itertuples()]
     wanted = [sample_rows or blocks.sample_size(2 * int(g.rows) // n) for n, g in zip(leaves, groups.itertuples())]
     routers = [TreeRouter(Tree.fit(unit_rows(s), int(g.rows), n)) for s, g, n in zip(blocks.sample_of(searched, groups, wanted), groups.itertuples(), leaves)]
     margins = _calibrate(searched, groups, routers, k, min_cosine, recall)
-    found = blocks.meet(searched, routers, groups, margins, best_of_block(k, min_cosine), "id long, other long, cosine double")
-    top = found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)
+    top = blocks.meet(searched, routers, groups, margins, best_of_block(k, min_cosine), "id long, other long, cosine double, rank int", best_of_task(k))
     if rest is not None:
         top = materialize(top)
         top = top.unionByName(rest.join(top.withColumnRenamed("id", "lead"), "lead").select("id", "other", "cosine", "rank"))

@@ -66,6 +66,28 @@ def test_sliced_blocks_lose_nothing(spark, vectors, monkeypatch):
     assert {(r.cluster_key, r.cache_id) for r in clusters.similarity_clusters(cache).collect()} == members
 
 
+def test_visits_are_not_shuffled(spark, vectors, monkeypatch):
+    """A vector is written once, whatever it visits, and the shuffle files of the write are gone."""
+    ready = blocks.prepared(cache_of(spark, vectors))
+    groups = blocks.groups_of(ready)
+    sample = unit_rows(blocks.sample_of(ready, groups, [1000])[0])
+    router = neighbours.TreeRouter(Tree.fit(sample, len(sample), 10))
+    names = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = names()
+    met = blocks.meet(ready, [router], groups, [10.0], neighbours.best_of_block(5, -1.0), "id long, other long, cosine double, rank int", neighbours.best_of_task(5))
+    assert router.n_cells > 5 and not names() - before
+    assert "Exchange" not in met._jdf.queryExecution().executedPlan().toString()
+    assert met.count() == 5 * len(sample)
+
+
+@pytest.mark.parametrize("half", [True, False])
+def test_packed_vectors_come_back(half):
+    x = np.random.default_rng(4).normal(size=(6, 8)).astype(np.float16 if half else np.float32).astype(np.float32)
+    y = np.vstack([x, np.float32([[1e-30] * 8, [1e30] * 8, [0.5] * 8])])
+    assert len(blocks.packed(x)[0].as_py()) == (16 if half else 32)
+    assert (blocks.matrix(blocks.packed(x), 8) == x).all() and (blocks.matrix(blocks.packed(y), 8) == y).all()
+
+
 def test_small_clusters_beside_a_hot_one_are_whole(spark, monkeypatch):
     monkeypatch.setattr(clusters, "CELL_ROWS", 1)
     monkeypatch.setattr(blocks, "LEAST_PART", 100, raising=False)
