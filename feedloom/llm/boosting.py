@@ -11,7 +11,7 @@ class Boosted:
         self.model: list = []
         self.start = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Boosted":
+    def fit(self, x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> "Boosted":
         n, d = x.shape
         # between all values where there are few, so that a rare one can be told apart
         values = [np.unique(x[:, j]) for j in range(d)]
@@ -20,8 +20,9 @@ class Boosted:
         # rows that fall together count as one of that weight
         codes, place = np.unique(codes.astype(np.int32), axis=0, return_inverse=True)
         place = place.ravel()
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        weight, y = np.bincount(place).astype(np.float64), np.bincount(place, y)
+        weights = np.ones(n) if weights is None else weights
+        share = np.clip((weights * y).sum() / weights.sum(), 1e-3, 1 - 1e-3)
+        weight, y = np.bincount(place, weights), np.bincount(place, weights * y)
         n, start = len(codes), np.concatenate([[0], np.cumsum([len(e) + 1 for e in self.edges])])
         flat = codes + start[:-1]
         self.start = float(np.log(share / (1 - share)))

@@ -5,15 +5,17 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, materialize
 from .boosting import Boosted
 from .lookalikes import LIGATURES, tables
 
@@ -22,8 +24,11 @@ PLACEHOLDER = {k: f"[{k}]" for k in KINDS}
 COMMON = 0.001  # share of the texts from which on a word counts as a common one
 TOGETHER = 22  # place, among the features of a name, of whether its words are found together elsewhere
 PART = 23  # place, among the features of a name, of what the word before it is
+RARE = 3  # times, in so many texts as weigh as one, up to which a name is hardly ever said
 _DIGIT = re.compile(r"\d")
-SAMPLE_ROWS = 8_000  # texts from which word frequencies and the surroundings of training items are taken
+SCALE_ROWS = 8_000  # texts that weigh as one in training; with more rows, what all of them hold counts by that much less, and rare means that many times more often
+MADE_UP = 12_000  # lines made up for training
+FLUSH = 200_000  # different keys a task counts before it hands them on
 
 _PLAIN = re.compile("[\x00-\x7f¡-¬®-ɏऀ-॥॰-ॿ–-„…€₹★\U0001f300-\U0001faff]*\\Z")
 
@@ -134,7 +139,7 @@ class Finder:
     """Proposes overlapping spans with high recall, scores them with boosted trees, and keeps the best that pass."""
 
     def __init__(self, share: dict[str, float], every: dict[str, float] | None = None, pairs: dict[str, float] | None = None):
-        self.share = share  # of the sampled texts that hold a word, not counted where it is written as part of a name: common words are rarely names
+        self.share = share  # of the texts that hold a word, not counted where it is written as part of a name: common words are rarely names
         self.every = share if every is None else every  # the same, counted everywhere
         self.pairs = pairs or {}  # of those that hold two words side by side, as products and places are called again and again
         self.trees: Boosted | None = None
@@ -270,8 +275,21 @@ class Finder:
                 score[on] = trees.predict(np.array([rows[i] for i in on], np.float64)) if trees else 0.0
         return score
 
-    def fit(self, lines: list[tuple[str, list[tuple[int, int, str]]]]) -> "Finder":
-        """Train on lines with known items; the last fifth calibrates the thresholds, at the best F score of each kind, recall counting twice."""
+    def calm(self, sentence: str) -> list[tuple[int, int, list[float]]] | None:
+        """The names proposed in a sentence, or none if it may hold an item: a number or address is proposed, or a name, of uncommon words that are not found together elsewhere, in a place where names stand."""
+        out = []
+        for start, end, kind, f in self.candidates(sentence):
+            if kind != "name" or (min(f[1], f[2]) == 0 and f[PART] and not f[TOGETHER]):
+                return None
+            out.append((start, end, f))
+        return out
+
+    def fit(self, lines: list[tuple[str, list[tuple[int, int, str]]]], alone: pd.DataFrame | None = None, often: dict[str, float] | None = None) -> "Finder":
+        """Train on lines with known items; the last fifth calibrates the thresholds, at the best F score of each kind, recall counting twice.
+
+        ``alone``: (features, held, rare, weight) of the names proposed in the sentences of the texts as they stand, in which nothing is
+        taken for an item; ``held`` for those that calibrate. ``often``: the weights of what is said there more than ``RARE`` times.
+        """
         x, y, kinds, line, said = [], [], [], [], []
         for n, (text, items) in enumerate(lines):
             for start, end, kind, features in self.candidates(text):
@@ -280,34 +298,49 @@ class Finder:
                 y.append(hit)
                 kinds.append(kind)
                 line.append(n)
-                said.append(lower(text[start:end]) if kind == "name" and text[start:end] != lower(text[start:end]) else "")
-        ys, kinds_, line_ = np.array(y, np.float64), np.array(kinds), np.array(line)
-        held, named = line_ >= len(lines) * 4 // 5, kinds_ == "name"
-        some = lambda on: np.array([x[i] for i in np.flatnonzero(on)], np.float64)
-        self.trees = Boosted().fit(some(~held & ~named), ys[~held & ~named])
-        self.names = Boosted(trees=90, depth=5).fit(some(~held & named), ys[~held & named]) if (~held & named).any() else None
+                said.append(_said(text[start:end]) if kind == "name" else "")
+        times, often = Counter(said), often or {}
+        bare, held = [not lines[n][1] for n in line], [n >= len(lines) * 4 // 5 for n in line]
+        rare = [w != "" and times[w] + often.get(w, 0.0) <= RARE for w in said]
+        weight = [1.0] * len(x)
+        if alone is not None:
+            x += [[float(c) - 1 for c in f] for f in alone["features"]]
+            y += [False] * len(alone)
+            kinds += ["name"] * len(alone)
+            bare += [True] * len(alone)
+            held, rare, weight = held + alone["held"].tolist(), rare + alone["rare"].tolist(), weight + alone["weight"].tolist()
+        ys, kinds_, bare, held, rare, weight = np.array(y, np.float64), np.array(kinds), np.array(bare, bool), np.array(held, bool), np.array(rare, bool), np.array(weight)
+        named = kinds_ == "name"
+        some = lambda on: (np.array([x[i] for i in np.flatnonzero(on)], np.float64), ys[on], weight[on])
+        self.trees = Boosted().fit(*some(~held & ~named))
+        self.names = Boosted(trees=90, depth=5).fit(*some(~held & named)) if (~held & named).any() else None
         # what is taken for a name with a capital in a line without items, and said in hardly any other line, may be one: not taught, not counted
-        bare, times = np.array([not lines[n][1] for n in line], bool), Counter(said)
         doubt = np.zeros(len(x), bool)
-        on = np.flatnonzero(named & bare & np.array([w != "" and times[w] <= 3 for w in said], bool))
+        on = np.flatnonzero(named & bare & rare)
         doubt[on] = self._score([x[i] for i in on], named[on]) >= 0.4
         if doubt.any():
-            self.names = Boosted().fit(some(~held & named & ~doubt), ys[~held & named & ~doubt])
+            self.names = Boosted().fit(*some(~held & named & ~doubt))
         held &= ~doubt
         score = self._score([x[i] for i in np.flatnonzero(held)], named[held])
         for kind in KINDS:
             on = kinds_[held] == kind
             if on.any():
-                p, t = score[on], ys[held][on]
+                p, t, w = score[on], ys[held][on], weight[held][on]
                 grid = np.arange(0.3, 0.96 if kind == "name" else 0.71, 0.05)
                 # what is false in a text as it stands counts ten times: names are that much rarer there
-                often = np.where((kinds_[held][on] == "name") & bare[held][on], 10, 1)
-                f = [3 * ((p >= c) & (t > 0)).sum() / max(1, often[p >= c].sum() + 2 * (t > 0).sum()) for c in grid]
+                often_ = w * np.where((kinds_[held][on] == "name") & bare[held][on], 10, 1)
+                f = [3 * (w * ((p >= c) & (t > 0))).sum() / max(1, often_[p >= c].sum() + 2 * (w * (t > 0)).sum()) for c in grid]
                 best = np.flatnonzero(np.array(f) >= max(f) - 1e-12)
                 self.least[kind] = float(grid[best[len(best) // 2]])
         return self
 
 
+def _said(words: str) -> str:
+    """Words proposed as a name, if there is a capital in them."""
+    low = lower(words)
+    return "" if low == words else low
+
+
 # What items stand in, as general sentences of seven languages; none is taken from a table.
 HOMES = {
     "email": ["You can get hold of me under {}.", "Invoices usually go to {} but none came", "I registered with {} last year.", "drop a line: {}", "login {} stopped working", "(see {})", "{}", "My user name is {} since May.", "Kontakt läuft über {}.", "Meine Adresse lautet {}", "Mon courriel : {}", "On peut me joindre via {}.", "Mi correo electrónico es {}", "Respondan a {} por favor.", "Podem responder para {}.", "Endereço eletrônico: {}", "Почта для связи: {}", "Пришлите ответ на {}.", "संपर्क: {}", "जवाब {} पर भेजें।"],
@@ -323,12 +356,13 @@ HOMES = {
 }
 
 
-def training_lines(surroundings: list[str], blank: Finder, n: int = 12_000, seed: int = 21) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def training_lines(surroundings: list[str], blank: Finder | None, n: int = MADE_UP, seed: int = 21) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Lines with items of every kind, and with what is easily taken for one, between sentences of real texts.
 
     All names, streets, towns and numbers are made up of syllables and digits here; a sentence is used as
     surroundings only if no generator proposes a span in it, names outside their usual places aside, so hardly anything personal is
-    taught as harmless; ``blank``, not trained yet, proposes. Those sentences also stand alone, as lines without an item.
+    taught as harmless; ``blank``, not trained yet, proposes. Those sentences also stand alone, as lines without an item; without
+    ``blank`` the surroundings are such sentences already and don't.
     """
     rng = np.random.default_rng(seed)
 
@@ -393,11 +427,7 @@ def training_lines(surroundings: list[str], blank: Finder, n: int = 12_000, seed
         lambda: f"{pick('Regards to', 'Thanks to', 'Kudos to', 'Cheers to')} {pick('the whole crew', 'everyone involved', 'all developers', 'nobody')}.", lambda: f"The {pick('agent', 'manager', 'executive', 'clerk')} {pick('said sorry twice', 'just laughed', 'knew nothing', 'transferred me again')}.", lambda: f"I spoke to {pick('someone else', 'three different people', 'a robot voice', 'sales again')}.", lambda: f"This is {pick('pretty annoying', 'beyond me', 'not okay', 'rather sad')}.", lambda: f"Ask {pick('customer support', 'any user', 'them yourself')}.", lambda: f"{pick('Mr', 'Dr')} {pick('nobody', 'know it all')} says no.",
         lambda: f"After {num(2)} days on {pick('the road', 'a long street', 'the main square')} I gave up.", lambda: f"{num(2)} {pick('users', 'people', 'shops')} in the {pick('court', 'square', 'lane')} agree.", lambda: f"I live at {pick('my parents', 'the coast', 'the other end of town')}.", lambda: "my number [phone]", lambda: "mail [email], card [id_number]", lambda: f"at {num(1)} dot {num(2)} percent", lambda: f"{pick('one two three', 'five or six', 'one, two, nine')} stars",
     ]
-    def nothing_in(sentence: str) -> bool:
-        """No number or address is proposed, and no name, of uncommon words that are not found together elsewhere, in a place where names stand."""
-        return all(kind == "name" and not (min(f[1], f[2]) == 0 and f[PART] and not f[TOGETHER]) for *_, kind, f in blank.candidates(sentence))
-
-    calm = [s for s in surroundings if nothing_in(s)] or [""]
+    calm = [s for s in surroundings if blank is None or blank.calm(s) is not None] or [""]
     lines = []
     for _ in range(n):
         parts, items, loose = [pick(*calm)] if rng.random() < 0.6 else [], [], False
@@ -429,7 +459,7 @@ def training_lines(surroundings: list[str], blank: Finder, n: int = 12_000, seed
         style = 1.0 if loose else rng.random()
         text = text.lower() if style < 0.08 else text.upper() if style < 0.16 and len(text.upper()) == len(text) else text
         lines.append((text, items))
-    lines += [(s, []) for s in calm]  # the real share of word pairs that are no names; the few names among them count little
+    lines += [(s, []) for s in calm if blank is not None]  # the real share of word pairs that are no names; the few names among them count little
     return [lines[i] for i in rng.permutation(len(lines))]
 
 
@@ -437,6 +467,9 @@ def _sentences(texts: list[str]) -> list[str]:
     return [s.strip() for t in texts for s in re.split(r"(?<=[.!?।])\s+|\n", t) if 10 <= len(s) <= 160]
 
 
+_CAPITALS = re.compile(r"[A-Z][\w'-]+[ .,]+[A-Z][\w'-]|^[^a-z]+\Z")
+
+
 def plain_words(text: str) -> set[str]:
     """The words of a text in lower case, but for those written with a capital beside another such word, as names are."""
     if text.isupper():
@@ -447,27 +480,118 @@ def plain_words(text: str) -> set[str]:
     return {lower(m[0]) for m, before, after in zip(found, [False, *beside], [*beside, False]) if not before and not after}
 
 
-def finder_for(some: list[str]) -> Finder:
-    """A finder trained for sampled texts, given in plain characters."""
-    some = list(dict.fromkeys(some))  # a text that is there again and again counts once
+def _counted(rows: DataFrame, keys: Callable[[str], list], names: list[str]) -> DataFrame:
+    """(what, key, n): the number of rows (column ``text``) in which ``keys`` finds a key; it gives a set for each of ``names``."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = [Counter() for _ in names]
+        for frame in frames:
+            for text in frame["text"]:
+                for c, found in zip(count, keys(text)):
+                    c.update(found)
+            if sum(map(len, count)) > FLUSH:
+                yield from handed_on(count)
+                count = [Counter() for _ in names]
+        yield from handed_on(count)
+
+    def handed_on(count: list[Counter]) -> Iterator[pd.DataFrame]:
+        for what, c in zip(names, count):
+            yield pd.DataFrame({"what": pd.Series([what] * len(c), dtype=object), "key": pd.Series(list(c), dtype=object), "n": np.fromiter(c.values(), np.int64, len(c))})
+
+    return rows.mapInPandas(scan, "what string, key string, n long").groupBy("what", "key").agg(F.sum("n").alias("n"))
+
 
-    def shares(count: Counter, least: int) -> dict[str, float]:
-        return {w: c / len(some) for w, c in count.items() if c >= max(least, COMMON * len(some) if least == 3 else 0)}
+def _plain_texts(texts: DataFrame) -> DataFrame:
+    """The different texts in plain characters: one that is there again and again counts once."""
 
-    lows = [_WORD.findall(lower(t)) for t in some]
-    share = shares(Counter(w for t in some for w in plain_words(t)), 3)
-    every = shares(Counter(w for ws in lows for w in set(ws)), 3)
-    pairs = shares(Counter(p for ws in lows for p in {f"{a} {b}" for a, b in zip(ws, ws[1:])}), 6)
-    finder = Finder(share, every, pairs)
-    return finder.fit(training_lines(_sentences(some), finder))
+    def mapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"text": pd.Series([plain(t) for t in frame["text"]], dtype=object)})
+
+    return materialize(texts.select("text").where("text is not null").mapInPandas(mapped, "text string").distinct())
+
+
+def blank_finder(texts: DataFrame, scale: float) -> Finder:
+    """A finder, not trained yet, with the shares of all the texts (different ones, in plain characters) that hold a word or pair of words."""
+    n = max(1, texts.count())
+    least_word, least_pair = max(3, COMMON * n), 6 * scale
+
+    def words(text: str) -> list:
+        every = set(_WORD.findall(lower(text)))
+        if text.isascii() and not _CAPITALS.search(text):  # no word stands beside another one with a capital, so all are plain
+            return [every, every]
+        return [plain_words(text), every]
+
+    found = _counted(texts, words, ["share", "every"]).where(F.col("n") >= min(least_word, least_pair)).toPandas()
+    share, every = ({k: c / n for k, c in zip(part["key"], part["n"]) if c >= least_word} for part in (found[found["what"] == what] for what in ("share", "every")))
+    # both words of a pair are in at least as many texts as the pair
+    frequent = texts.sparkSession.sparkContext.broadcast(frozenset(found.loc[(found["what"] == "every") & (found["n"] >= least_pair), "key"]))
+
+    def together(text: str) -> list:
+        ws = _WORD.findall(lower(text))
+        on = [w in frequent.value for w in ws]
+        return [{f"{a} {b}" for a, b, i, j in zip(ws, ws[1:], on, on[1:]) if i and j}]
 
+    pairs = _counted(texts, together, ["pair"]).where(F.col("n") >= least_pair).toPandas()
+    return Finder(share, every, {k: c / n for k, c in zip(pairs["key"], pairs["n"])})
 
-def fitted_finder(texts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Finder:
-    """A finder trained for the texts (column ``text``); about ``sample_rows`` of them, chosen by hash, are looked at, never more than twice as many."""
-    n = texts.count()
-    cut = int(min(1.0, sample_rows / max(1, n)) * (1 << 63)) - 1
-    some = texts.where("text is not null").where(F.shiftrightunsigned(F.xxhash64("text"), 1) <= cut).orderBy(F.xxhash64("text"), "text").limit(2 * sample_rows).toPandas()["text"].tolist()
-    return finder_for([plain(t) for t in some])
+
+def _alone(texts: DataFrame, blank: Finder, scale: float) -> tuple[pd.DataFrame, dict[str, float], list[str]]:
+    """What ``Finder.fit`` takes of all sentences of the texts as they stand, and the surroundings of made-up items.
+
+    The names proposed in them are counted by their features, so what reaches the driver doesn't grow with the texts but with the
+    kinds of places. The surroundings are drawn, twice as many as there are made-up lines, from all the sentences that hold nothing, by how often each is there.
+    """
+    sentences = materialize(_sentence_counts(texts))
+    share = min(1.0, 2 * MADE_UP / max(1, sentences.agg(F.sum("n")).first()[0] or 0))
+    shared = texts.sparkSession.sparkContext.broadcast(blank)
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        finder = shared.value
+        for frame in frames:
+            count, drawn = Counter(), []
+            for s, n in zip(frame["key"], frame["n"].tolist()):
+                names = finder.calm(s)
+                if names is None:
+                    continue
+                hashed = zlib.crc32(s.encode())
+                times = int(n * share + hashed / 2**32)
+                drawn += [(s, None, False, times)] if times else []
+                for start, end, f in names:
+                    count[_said(s[start:end]), bytes(int(v) + 1 for v in f), hashed % 5 == 4] += n
+            rows = [*drawn, *((*k, n) for k, n in count.items())]
+            yield pd.DataFrame({"said": pd.Series([r[0] for r in rows], dtype=object), "features": pd.Series([r[1] for r in rows], dtype=object), "held": np.array([r[2] for r in rows], bool), "n": np.array([r[3] for r in rows], np.int64)})
+
+    found = materialize(sentences.mapInPandas(look, "said string, features binary, held boolean, n long"))
+    drawn = found.where("features is null").select("said", "n").orderBy("said").toPandas()
+    named = found.where("features is not null").groupBy("said", "features", "held").agg(F.sum("n").alias("n"))
+    rare = named.where("said <> ''").withColumn("rare", F.sum("n").over(Window.partitionBy("said")) <= RARE * scale)
+    often = found.where("features is not null and said <> ''").groupBy("said").agg(F.sum("n").alias("n")).where(F.col("n") > RARE * scale).toPandas()
+    every = rare.unionByName(named.where("said = ''").withColumn("rare", F.lit(False)))
+    alone = every.groupBy("features", "held", "rare").agg(F.sum("n").alias("n")).orderBy("features", "held", "rare").toPandas()
+    alone["weight"] = alone["n"] / scale
+    discard(found)
+    discard(sentences)
+    return alone, {k: c / scale for k, c in zip(often["said"], often["n"])}, [s for s, n in zip(drawn["said"], drawn["n"]) for _ in range(n)]
+
+
+def _sentence_counts(texts: DataFrame) -> DataFrame:
+    """(key, n): the sentences and how often each is there in the texts."""
+    return _counted(texts, lambda text: [_sentences([text])], ["sentence"]).select("key", "n")
+
+
+def fitted_finder(texts: DataFrame, scale_rows: int = SCALE_ROWS) -> Finder:
+    """A finder trained for the texts (column ``text``), all of which are counted and looked at.
+
+    The shares of words and pairs are those of all different texts. The names proposed in all their sentences are taught and calibrate
+    the threshold; beyond ``scale_rows`` rows they weigh as much as those of so many, so that the made-up lines keep their part.
+    """
+    scale = max(1.0, texts.count() / scale_rows)
+    different = _plain_texts(texts)
+    blank = blank_finder(different, scale)
+    alone, often, surroundings = _alone(different, blank, scale)
+    discard(different)
+    return blank.fit(training_lines(surroundings, None), alone, often)
 
 
 def redact(text: str, spans: list[tuple[int, int, str]], mapped: str) -> str:
@@ -495,8 +619,8 @@ def personal_data(rows: DataFrame, finder: Finder | None = None) -> DataFrame:
     ``rows`` has tbl, row_id, field_name, text. Generators propose overlapping spans over the whole text, in plain characters (so
     full-width digits, look-alikes and invisible characters hide nothing); boosted trees score them by format and
     context features; spans above the calibrated threshold of their kind, the best first, are replaced by ``[kind]``,
-    the rest of the text stays as it was. The trees are trained on made-up items between sentences of a bounded
-    sample. Null texts give no row, nor do texts without an item; placeholders already set are no items.
+    the rest of the text stays as it was. The trees are trained on made-up items and on all sentences of
+    the texts. Null texts give no row, nor do texts without an item; placeholders already set are no items.
     """
     finder = finder or fitted_finder(rows.select("text"))
     shared = rows.sparkSession.sparkContext.broadcast(finder)
@@ -506,7 +630,9 @@ def personal_data(rows: DataFrame, finder: Finder | None = None) -> DataFrame:
         for frame in frames:
             texts = frame["text"].tolist()
             mapped = [plain(t) for t in texts]
-            found = finder.spans(mapped)
+            each = {t: i for i, t in enumerate(dict.fromkeys(mapped))}  # a text that is there again is looked at once
+            spans = finder.spans(list(each))
+            found = [spans[each[t]] for t in mapped]
             on = [i for i, s in enumerate(found) if s]
             if not on:
                 continue

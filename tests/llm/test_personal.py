@@ -132,3 +132,24 @@ def test_names_and_places_without_a_listed_cue(trained, text):
 def test_numbers_that_are_no_items(trained):
     for text in ("Invoice 123-45-6789 is open", "down since 2024-05-17 10", "paid 1,234,567.89 in total"):
         assert not trained.spans([text])[0], text
+
+
+def test_all_texts_are_counted_and_looked_at(spark, monkeypatch):
+    """Far more texts than weigh as one: shares, pairs and the names proposed are those of all of them, not of a sample."""
+    monkeypatch.setattr(personal, "FLUSH", 50, raising=False)
+    said = [f"The Quelmar Zostin {w} app is quite good. I like it {i} times. Nothing else to say here." for i in range(150) for w in ("red", "blue", "grey", "pink")]
+    said += [f"Number {i} of all is slow." for i in range(60)] * 2 + [None, ""]
+    different = {t for t in said if t is not None}
+    rows = spark.createDataFrame([(t,) for t in said], "text string").repartition(5)
+    n, scale = len(different), len(said) / 60
+    finder = personal.fitted_finder(rows, 60)
+    lows = [personal._WORD.findall(t.lower()) for t in different]
+    counts = [Counter(w for t in different for w in personal.plain_words(t)), Counter(w for ws in lows for w in set(ws)), Counter(p for ws in lows for p in {f"{a} {b}" for a, b in zip(ws, ws[1:])})]
+    want = [{k: c / n for k, c in count.items() if c >= least} for count, least in zip(counts, (3, 3, 6 * scale))]
+    assert [finder.share, finder.every, finder.pairs] == want and "quelmar zostin" in finder.pairs
+    alone, often, surroundings = personal._alone(personal._plain_texts(rows), finder, scale)
+    calm = Counter(s for s in personal._sentences(sorted(different)) if finder.calm(s) is not None)
+    proposed = [(personal._said(s[a:b]), k) for s, k in calm.items() for a, b, _ in finder.calm(s)]
+    assert alone["n"].sum() == sum(k for _, k in proposed) > 0
+    assert often == {w: k / scale for w, k in sum((Counter({w: k}) for w, k in proposed if w), Counter()).items() if k > 3 * scale}
+    assert Counter(surroundings) == calm  # few enough to take each as often as it is there
