@@ -205,3 +205,38 @@ def test_recall_on_the_tables(spark, data):
             want |= {(min(ids[a], ids[b]), max(ids[a], ids[b])) for b in order if s[a, b] >= 0.75}
     got = {(r.cache_a, r.cache_b) for r in neighbours.similar_pairs(cache).collect()}
     assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
+def test_links_that_no_probe_shows_are_found(spark, monkeypatch):
+    """Few pairs are linked across cells, most of them by vectors that are no probes: every pair is compared."""
+    monkeypatch.setattr(clusters, "CELL_ROWS", 40)
+    monkeypatch.setattr(blocks, "LEAST_PART", 50, raising=False)
+    monkeypatch.setattr(clusters, "PROBES", 20, raising=False)
+    rng = np.random.default_rng(12)
+    walk = np.cumsum(rng.normal(size=(900, 24)) * 0.35, axis=0) + rng.normal(size=24)  # a long chain, linked from step to step
+    x = np.concatenate([walk, *(rng.normal(size=24) + 0.5 * rng.normal(size=(6, 24)) for _ in range(120))]).astype(np.float32)
+    unit = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(1))[:, None]
+    label = clusters.merge(np.arange(len(x)), *np.nonzero(unit @ unit.T >= 0.75))
+    size = np.bincount(label, minlength=len(x))
+    want = {(int(c), i) for i, c in enumerate(label) if size[c] >= 5}
+    cache = spark.createDataFrame([(i, "m", row.tolist(), 24) for i, row in enumerate(x)], "cache_id long, model_version string, vector array<float>, dim int")
+    assert len({c for c, _ in want}) > 20
+    assert {(r.cluster_key, r.cache_id) for r in clusters.similarity_clusters(cache).collect()} == want
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 7, 10])
+def test_every_two_blocks_meet_once(n):
+    met = [frozenset((i, j)) for i in range(n) for j in blocks.half_circle(i, n)]
+    assert len(met) == len(set(met)) == n * (n - 1) // 2
+
+
+def test_mixture_is_fitted_on_all_vectors(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SAMPLE_ROWS", 100)
+    monkeypatch.setattr(blocks, "MOST_SAMPLE", 100)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(c, 0.05, (300, 8)) for c in np.eye(8)[:3]]).astype(np.float32)
+    cache = spark.createDataFrame([(i, "m", row.tolist(), 8) for i, row in enumerate(x)], "cache_id long, model_version string, vector array<float>, dim int")
+    ready = blocks.prepared(cache)
+    model = clusters._models(ready, blocks.groups_of(ready))[0]
+    unit = unit_rows(x).astype(np.float64)
+    assert np.allclose(model.mean, unit.mean(0), atol=1e-6) and np.allclose(model.scale, unit.std(0), atol=1e-6)
