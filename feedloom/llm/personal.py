@@ -7,7 +7,7 @@ import sys
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +29,7 @@ _DIGIT = re.compile(r"\d")
 SCALE_ROWS = 8_000  # texts that weigh as one in training; with more rows, what all of them hold counts by that much less, and rare means that many times more often
 MADE_UP = 12_000  # lines made up for training
 FLUSH = 200_000  # different keys a task counts before it hands them on
+KEPT = 20_000  # contexts and features of which what was found is kept, as the same ones come again and again
 
 _PLAIN = re.compile("[\x00-\x7f¡-¬®-ɏऀ-॥॰-ॿ–-„…€₹★\U0001f300-\U0001faff]*\\Z")
 
@@ -53,6 +54,11 @@ def lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
+def _words(low: str) -> list[str]:
+    """The words of a text in lower case, in their order."""
+    return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
+
+
 def _spellings(word: str) -> list[str]:
     """A lower-case word in plain characters as it comes out when written so, with a capital, or in capitals: look-alikes differ by case."""
     capital = lambda c: c if c.isascii() else lower(plain(c.upper()))
@@ -80,11 +86,15 @@ _THINGS = _any("new san saint santa bad los las el la der die das the north sout
 _TITLE = r"(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|sra?)"
 _TITLED = re.compile(rf"(?<![\w'’-])(?P<title>{_TITLE})\b\.?\s+(?P<name>[^\W\d_][\w'’-]+)")
 _WORD = re.compile(r"[^\W\d_][\w'’-]+")
+_ASCII_WORD = re.compile(r"[a-z][a-z0-9_'-]+")  # the same in lower-case ASCII, several times faster
+_SPLIT_WORDS = re.compile(rf"({_WORD.pattern})")
 # Any two neighbouring words, with or without a comma, or a letter with a point and a word; overlapping.
 _PART = r"[^\W\d_](?:[^\W\d_]|['’-])+(?![\ẁ-ͯ])"
 _PAIR = re.compile(rf"(?<![\w'’.-])(?=(?:(?P<ini>[^\W\d_])\.\s*(?P<fam2>{_PART})|(?P<fam>{_PART}),\s*(?P<giv>{_PART})|(?P<giv3>{_PART})\s+(?P<fam3>{_PART})))")
-_LAST_WORD, _NEXT_WORD = re.compile(r"([^\W\d_][\w'’-]*)[^\w.!?]*\Z"), re.compile(r"[^\w.!?\n]*([^\W\d_][\w'’-]*)")
-_CAPPED = re.compile(r"(?<![\w'’.-])(?=[A-ZÀ-ÖØ-ÞА-ЯЁ](?:\.\s*|[\w'’-]+,?\s+)[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ](?![\w'’-]))")
+_LAST_WORD, _NEXT_WORD = re.compile(r"([^\W\d_][\w'’-]*+)[^\w.!?]*+\Z"), re.compile(r"[^\w.!?\n]*([^\W\d_][\w'’-]*)")
+# A capital and, not consumed, what makes it the first of two words written as names; begun by a set so that the engine can skip to it.
+_CAPPED = re.compile(r"[A-ZÀ-ÖØ-ÞА-ЯЁ](?<![\w'’.-][A-ZÀ-ÖØ-ÞА-ЯЁ])(?=(?:\.\s*|[\w'’-]++,?\s++)[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ](?![\w'’-]))")
+_ASCII_CAPPED = re.compile(r"[A-Z](?<![A-Za-z0-9_'.-][A-Z])(?=(?:\.\s*|[A-Za-z0-9_'-]++,?\s++)[A-Z][A-Za-z0-9_'-]*[a-z](?![A-Za-z0-9_'-]))")
 # Words beside which numbers and addresses of a kind stand, and numbers that are no items.
 _PHONE = _cue(r"\bcall", r"\bphon", r"\bmobile\b", r"\bcell\b", r"\blandline\b", r"\bdial", r"my number", r"\breach", r"\btext\b", r"\bring\b", r"whats?app", r"\btel\b", r"\bfax\b", r"t[eé]l[eé]f", r"telefon", r"\bhandy\b", r"erreichbar", r"rückruf", r"appele", r"joignable", r"portable", r"\bligue", r"\bllám", r"llame", r"\bmóvil", r"celular", r"\bruf", r"звон", r"телефон", r"мобильн", r"फ़ोन", r"फोन", r"मोबाइल")
 _ID = _cue(r"\bpan\b", r"aad?haa?r", r"\bssn\b", r"passp", r"\biban\b", r"\baccount\b", r"\bcard\b", r"ausweis", r"reisepass", r"steuer", r"konto", r"identi", r"\bid\b", r"documento", r"документ", r"паспорт", r"\bинн\b", r"снилс", r"карт[аыу]", r"сч[её]т", r"पहचान", r"आधार", r"पैन", r"खाता", r"pi[eè]ce", r"carte", r"compte", r"social", r"\btax\b", r"licen[cs]e", r"\bcpf\b", r"\bcnpj\b", r"\brg\b", r"\bdni\b", r"\bnie\b", r"cuenta", r"conta\b", r"tarjeta", r"cartão", r"pasaporte", r"passaporte")
@@ -114,11 +124,19 @@ _GENERATORS = {
 }
 _NUMBER_KINDS = {"digits": ("phone", "id_number"), "spelled": ("phone",), "pan": ("id_number",), "iban": ("id_number",), "letters": ("id_number",), "email": ("email",), "number_first": ("address",), "flat": ("address",), "street_first": ("address",), "compound": ("address",)}
 _GEN_NO = {g: i for i, g in enumerate(_NUMBER_KINDS)}
+# What numbers of a kind can't be without in plain text, whose digits are ASCII ones; each begins with a digit so that the engine can skip to it.
+_NUMBERS = re.compile(r"[0-9][0-9\s().\-/,]*")
+_WITHOUT = {
+    "digits": re.compile(r"[0-9](?:[\s().\-/,]{0,3}[0-9]){6}"),
+    "pan": re.compile(r"[0-9]{4}\s?[a-z]"),
+    "iban": re.compile(r"[0-9]{2}(?<=[a-z][a-z][0-9]{2})"),
+    "letters": re.compile(r"[0-9]{2}(?:[0-9]{3}(?:(?<=[a-z][0-9]{5})|(?<=[a-z]-[0-9]{5}))|\s?[0-9]{2}\s?[0-9]{2}\s?[a-z])"),
+}
+_LETTERS_TOO = re.compile(r"[0-9]{2}(?:(?<=[a-z][a-z][0-9]{2})|[0-9]{2}\s?[a-z]|[0-9]{3}(?:(?<=[a-z][0-9]{5})|(?<=[a-z]-[0-9]{5}))|\s?[0-9]{2}\s?[0-9]{2}\s?[a-z])")  # any of the last three
 _TITLES = frozenset(("mr", "mrs", "ms", "miss", "dr", "prof", "herr", "frau", "mme", "sr", "sra"))
 _SPOKEN = frozenset(("zero", "oh", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "double", "triple"))
 _STREET_WORDS = frozenset(re.findall(r"[^\W\d_][\w'’-]+", _STREET))
-_COMPOUND = re.compile(r"straße|strasse|gasse|weg |platz |allee |ring |ufer |damm ")
-_MIXED = re.compile(r"[a-z][\s-]?\d{2}")
+_ANY_STREET = re.compile(rf"\b{_STREET}\b")
 _TAIL = re.compile(plain(r"(?:,?\s*кв\.?\s*\d+)?(?:\.|,)?(?:,?\s+(?:apt|unit|suite)\s*\d+)?(?:\s*[,–-]?\s*(?:\d+\.?º?o?\s\w,\s*)?(?:sector\s*\d+,\s*)?(?:\d{5,6}\s+)?[^\W\d_][\w'’-]+(?:\s*[,–-]\s*(?:[a-z]{2}\s+)?\d{5,6}|\s+\d{5,6})?)?"))
 
 
@@ -135,6 +153,17 @@ def _luhn(digits: str) -> bool:
     return (other + sum(int(c) for c in digits[-1::-2])) % 10 == 0
 
 
+@lru_cache(maxsize=KEPT)
+def _around(before: str, after: str) -> tuple[list[float], float]:
+    """Features of what stands before and after a number or address, in lower case: those that stand together in ``Finder._features``, and the last one."""
+    near = before[-20:]
+    phone, number = bool(_PHONE.search(before)), bool(_ID.search(before))
+    return [
+        float(phone or bool(_PHONE.search(after[:14]))), float(number), float(bool(_ADDRESS.search(before))), float(bool(_TICKET.search(near))), float(bool(_CODE.search(near))),
+        float(bool(_MONEY.search(before))), float(bool(_MONEY_AFTER.search(after))), float(bool(_DATE.search(near))),
+    ], float(phone) - float(number)
+
+
 class Finder:
     """Proposes overlapping spans with high recall, scores them with boosted trees, and keeps the best that pass."""
 
@@ -145,25 +174,34 @@ class Finder:
         self.trees: Boosted | None = None
         self.names: Boosted | None = None  # which are far more often proposed than right
         self.least = dict.fromkeys(KINDS, 0.5)
+        self._scored: dict[tuple, float] = {}  # of names, by their features
 
-    def candidates(self, text: str, names: bool = True) -> Iterator[tuple[int, int, str, list[float]]]:
-        """(start, end, kind, features) of the spans proposed in a plain text; names only if wanted."""
-        low = lower(text)
+    def _number_spans(self, low: str, words: set[str]) -> list[tuple[int, int, str]]:
+        """(start, end, generator) of the numbers and addresses proposed in a plain text in lower case."""
         spans: list[tuple[int, int, str]] = []
         if "@" in low or ("at" in low and "dot" in low):
             spans += [(m.start(), m.end(), "email") for m in _GENERATORS["email"].finditer(low)]
-        words = set(_WORD.findall(low))
-        if _DIGIT.search(low):
-            for g in ("digits", "pan", "iban", "letters") if _MIXED.search(low) else ("digits",):
-                spans += [(m.start(), m.end(), g) for m in _GENERATORS[g].finditer(low)]
-            if not words.isdisjoint(_STREET_WORDS) or _COMPOUND.search(low):
-                for g in ("number_first", "flat", "street_first", "compound"):
+        numbers = _NUMBERS.findall(low)
+        if numbers:
+            lettered = _LETTERS_TOO.search(low)
+            for g, gate in _WITHOUT.items():
+                if (lettered if g != "digits" else max(map(len, numbers)) >= 7) and gate.search(low):
+                    spans += [(m.start(), m.end(), g) for m in _GENERATORS[g].finditer(low)]
+            compound = "straße" in low or "strasse" in low or "gasse" in low or "weg " in low or "platz " in low or "allee " in low or "ring " in low or "ufer " in low or "damm " in low
+            if compound or not words.isdisjoint(_STREET_WORDS):
+                for g in ("number_first", "flat", "street_first", "compound") if _ANY_STREET.search(low) else ("compound",):
                     for m in _GENERATORS[g].finditer(low):
                         tail = _TAIL.match(low, m.end())
                         spans.append((m.start(), tail.end() if tail else m.end(), g))
-        if not words.isdisjoint(_SPOKEN):
+        if not words.isdisjoint(_SPOKEN) and sum(map(low.count, _SPOKEN)) >= 7:
             spans += [(m.start(), m.end(), "spelled") for m in _GENERATORS["spelled"].finditer(low)]
-        for start, end, g in spans:
+        return spans
+
+    def candidates(self, text: str, names: bool = True) -> Iterator[tuple[int, int, str, Sequence[float]]]:
+        """(start, end, kind, features) of the spans proposed in a plain text; names only if wanted."""
+        low = lower(text)
+        words = set(_words(low))
+        for start, end, g in self._number_spans(low, words):
             if g == "digits":  # without a bracket around it, with letters that belong to it
                 start += low[start] == "(" and ")" not in low[start:end]
                 while start and low[start - 1].isalnum() and low[start - 1].isascii():
@@ -173,28 +211,29 @@ class Finder:
             shared = self._features(text, low, start, end, g)
             for kind in _NUMBER_KINDS[g]:
                 yield start, end, kind, [*shared, float(KINDS.index(kind))]
-        if not names:
-            return
+        if names:
+            yield from self._names(text, low, words)
+
+    def _names(self, text: str, low: str, words: set[str]) -> Iterator[tuple[int, int, str, Sequence[float]]]:
         done = set()
         for m in _TITLED.finditer(low) if not words.isdisjoint(_TITLES) else ():
             done.add((m.start(), m.end()))
-            yield m.start(), m.end(), "name", self._name_features(text, low, m.start(), m.start("name"), m.end(), 0, (0.0, self.share.get(m["name"], 0.0)))
+            yield m.start(), m.end(), "name", self._name_features(text, low, m.start(), m.start("name"), m.end(), 0)
         for place in self._pair_places(text, low, words):
             m = _PAIR.match(low, place)
             if not m:
                 continue
             at = m.lastindex  # of the second word, in the same alternative as the first
             start, second, end = m.start(at - 1), m.start(at), m.end(at)
-            shares = 0.0 if at == 2 else self.share.get(m[at - 1], 0.0), self.share.get(m[at], 0.0)
             if (start, end) in done or m[at - 1] == m[at]:
                 continue
-            yield start, end, "name", self._name_features(text, low, start, second, end, at, shares)
+            yield start, end, "name", self._name_features(text, low, start, second, end, at)
 
     def _features(self, text: str, low: str, start: int, end: int, g: str) -> list[float]:
         s, raw = low[start:end], text[start:end]
         before, after = low[max(0, start - 48) : start], low[end : end + 28]
         before = before[max((stop.end() for stop in _SENTENCE.finditer(before)), default=0) :]
-        near = before[-20:]
+        around, phone_or_id = _around(before, after)
         groups = [len(x) for x in re.findall(r"\d+", s)]
         digits = sum(groups)
         letters = sum(c.isalpha() for c in s)
@@ -205,10 +244,9 @@ class Finder:
             float(_GEN_NO[g]), float(digits), float(len(groups)), float(max(groups, default=0)), float(groups[-1] if groups else 0), float(groups[0] if groups else 0), float(letters), float(head),
             float(len(groups) >= 3 and all(x == 4 for x in groups[:3])), float(groups == [3, 2, 4]), float(groups in ([4, 2, 2], [2, 2, 4], [1, 2, 4], [2, 1, 4], [1, 1, 4], [4, 1, 1], [4, 1, 2], [4, 2, 1])), float(len(groups) >= 7 and max(groups) == 1),
             float(s.startswith("+")), float("(" in s[:2]), float(s[:1] == "0" or s[1:2] == "0"), float("," in s), float(s.count(".")), float("-" in s), float("/" in s), float("@" in s),
-            float("dot" in s), float(bool(_PHONE.search(before) or _PHONE.search(after[:14]))), float(bool(_ID.search(before))), float(bool(_ADDRESS.search(before))), float(bool(_TICKET.search(near))), float(bool(_CODE.search(near))),
-            float(bool(_MONEY.search(before))), float(bool(_MONEY_AFTER.search(after))), float(bool(_DATE.search(near))), float(bool(re.search(r"\d{5,6}", s))), float(len(s)), float(s[:1].isdigit()),
+            float("dot" in s), *around, float(bool(re.search(r"\d{5,6}", s))), float(len(s)), float(s[:1].isdigit()),
             float(bool(re.search(r"[\w]$", before))), float(bool(re.match(r"[\w]", after))), float(bool(re.search(r"\b(?:apt|flat|house|tower|sector)\b", s))),
-            float(bool(_CALENDAR.search(s))), float(_luhn("".join(c for c in s if c.isdigit()))), float(bool(_AMOUNT.fullmatch(s))), float(not before.strip()), float(not after.strip()), float(bool(_PHONE.search(before))) - float(bool(_ID.search(before))),
+            float(bool(_CALENDAR.search(s))), float(_luhn("".join(c for c in s if c.isdigit()))), float(bool(_AMOUNT.fullmatch(s))), float(not before.strip()), float(not after.strip()), phone_or_id,
         ]
         words = _WORD.findall(s)
         if words and g in ("number_first", "flat", "street_first", "compound"):
@@ -221,7 +259,7 @@ class Finder:
 
     def _pair_places(self, text: str, low: str, words: set[str]) -> list[int]:
         """Where a name may begin: at or one word before a word that is not common, and where two words are written as names."""
-        places = {m.start() for m in _CAPPED.finditer(text)}
+        places = {m.start() for m in (_ASCII_CAPPED if text.isascii() else _CAPPED).finditer(text)}
         for w in words.difference(self.share):
             at = low.find(w)
             while at >= 0:
@@ -236,20 +274,22 @@ class Finder:
                 at = low.find(w, at + len(w))
         return sorted(places)
 
-    def _name_features(self, text: str, low: str, start: int, second: int, end: int, at: int, shares: tuple[float, float]) -> list[float]:
+    def _name_features(self, text: str, low: str, start: int, second: int, end: int, at: int) -> tuple:
+        """The features of a name; ``at``: its form, 0 with a title."""
         before, after = low[max(0, start - 24) : start], low[end : end + 24]
         last, following = _LAST_WORD.search(before), _NEXT_WORD.match(after)
         prior = last[1].removesuffix("'s").removesuffix("’s") if last else ""
         one, two = low[start:second].strip(" ,.\n"), low[second:end]
+        shares = 0.0 if at in (0, 2) else self.share.get(low[start:second].rstrip().removesuffix(","), 0.0), self.share.get(two, 0.0)
         left = before.rstrip(" \t")
         part = 1 if prior in _CLOSING else 2 if prior in _ROLE else 3 if prior in _INTRO else 4 if prior in _TOWARDS else 0
-        return [
-            float(at), *map(_often, shares), float(text[start].isupper()), float(text[second].isupper()), float(text[start:end].isupper()), float(text[end - 1].islower()),
-            _often(self.share.get(prior, 0.0)) if last else -1.0, _often(self.share.get(following[1], 0.0)) if following else -1.0, float(not left or left[-1] in ".!?:;|\n"), float("\n" in low[start:end]), float(not low[start:end].isascii()),
-            float(min(second - start, 4)), float(min(end - second, 4)), float("'" in low[start:end] or "’" in low[start:end]), float("-" in low[start:end]), float(text[end : end + 24].isupper()), float(bool(following and following[1] in _FOLLOWS)),
-            float(one in _THINGS), float(two in _THINGS), _often(self.every.get(one, 0.0)), _often(self.every.get(two, 0.0)), float(" ".join(low[start:end].split()) in self.pairs),
-            float(part), float(part == 1), float(part == 2), float(part == 3), float(not after.strip()), float(not before.strip()), float("," in left[-1:]), float(bool(following and text[end + following.start(1)].isupper())),
-        ]
+        return (
+            at, *map(_often, shares), text[start].isupper(), text[second].isupper(), text[start:end].isupper(), text[end - 1].islower(),
+            _often(self.share.get(prior, 0.0)) if last else -1, _often(self.share.get(following[1], 0.0)) if following else -1, not left or left[-1] in ".!?:;|\n", "\n" in low[start:end], not low[start:end].isascii(),
+            min(second - start, 4), min(end - second, 4), "'" in low[start:end] or "’" in low[start:end], "-" in low[start:end], text[end : end + 24].isupper(), following is not None and following[1] in _FOLLOWS,
+            one in _THINGS, two in _THINGS, _often(self.every.get(one, 0.0)), _often(self.every.get(two, 0.0)), " ".join(low[start:end].split()) in self.pairs,
+            part, part == 1, part == 2, part == 3, not after.strip(), not before.strip(), "," in left[-1:], following is not None and text[end + following.start(1)].isupper(),
+        )
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         """The accepted spans of each plain text, best first where they overlap."""
@@ -261,25 +301,37 @@ class Finder:
                 place.append((start, end, kind))
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
         if rows:
-            score = self._score(rows, np.array([kind == "name" for *_, kind in place]))
-            for j in np.argsort(-score, kind="stable"):
+            new = list(dict.fromkeys(f for f, (*_, kind) in zip(rows, place) if kind == "name" and f not in self._scored))
+            if len(self._scored) + len(new) > KEPT:  # a name has the same features as many another one
+                self._scored.clear()
+                new = list(dict.fromkeys(f for f, (*_, kind) in zip(rows, place) if kind == "name"))
+            self._scored.update(zip(new, self._score(new, np.ones(len(new), bool)).tolist()))
+            others = [j for j, (*_, kind) in enumerate(place) if kind != "name"]
+            score = np.array([self._scored[f] if kind == "name" else 0.0 for f, (*_, kind) in zip(rows, place)])
+            score[others] = self._score([rows[j] for j in others], np.zeros(len(others), bool))
+            enough = np.flatnonzero(score >= np.array([self.least[kind] for *_, kind in place]))
+            for j in enough[np.argsort(-score[enough], kind="stable")].tolist():
                 start, end, kind = place[j]
-                if score[j] >= self.least[kind] and all(end <= a or start >= b for a, b, _ in out[owner[j]]):
+                if all(end <= a or start >= b for a, b, _ in out[owner[j]]):
                     out[owner[j]].append((start, end, kind))
         return out
 
-    def _score(self, rows: list[list[float]], named: np.ndarray) -> np.ndarray:
+    def _score(self, rows: list[Sequence[float]], named: np.ndarray) -> np.ndarray:
         score = np.empty(len(rows))
         for trees, on in ((self.trees, np.flatnonzero(~named)), (self.names, np.flatnonzero(named))):
             if len(on):
                 score[on] = trees.predict(np.array([rows[i] for i in on], np.float64)) if trees else 0.0
         return score
 
-    def calm(self, sentence: str) -> list[tuple[int, int, list[float]]] | None:
+    def calm(self, sentence: str) -> list[tuple[int, int, Sequence[float]]] | None:
         """The names proposed in a sentence, or none if it may hold an item: a number or address is proposed, or a name, of uncommon words that are not found together elsewhere, in a place where names stand."""
+        low = lower(sentence)
+        words = set(_words(low))
+        if self._number_spans(low, words):
+            return None
         out = []
-        for start, end, kind, f in self.candidates(sentence):
-            if kind != "name" or (min(f[1], f[2]) == 0 and f[PART] and not f[TOGETHER]):
+        for start, end, _, f in self._names(sentence, low, words):
+            if min(f[1], f[2]) == 0 and f[PART] and not f[TOGETHER]:
                 return None
             out.append((start, end, f))
         return out
@@ -315,6 +367,7 @@ class Finder:
         self.trees = Boosted().fit(*some(~held & ~named))
         self.names = Boosted(trees=90, depth=5).fit(*some(~held & named)) if (~held & named).any() else None
         # what is taken for a name with a capital in a line without items, and said in hardly any other line, may be one: not taught, not counted
+        self._scored.clear()
         doubt = np.zeros(len(x), bool)
         on = np.flatnonzero(named & bare & rare)
         doubt[on] = self._score([x[i] for i in on], named[on]) >= 0.4
@@ -463,21 +516,58 @@ def training_lines(surroundings: list[str], blank: Finder | None, n: int = MADE_
     return [lines[i] for i in rng.permutation(len(lines))]
 
 
+# The end of a sentence or line; it begins with a set so that the engine can skip to it.
+_STOP = re.compile(r"[.!?।\n](?:(?<=\n)|\s+)")
+
+
 def _sentences(texts: list[str]) -> list[str]:
-    return [s.strip() for t in texts for s in re.split(r"(?<=[.!?।])\s+|\n", t) if 10 <= len(s) <= 160]
+    out = []
+    for text in texts:
+        at = 0
+        for m in _STOP.finditer(text):
+            out.append(text[at : m.start() + (m[0] != "\n")])
+            at = m.end()
+        out.append(text[at:])
+    return [s.strip() for s in out if 10 <= len(s) <= 160]
 
 
-_CAPITALS = re.compile(r"[A-Z][\w'-]+[ .,]+[A-Z][\w'-]|^[^a-z]+\Z")
+# Words that begin with a capital, side by side; characters beyond the first plane would make the set slow.
+_CAPITAL = "".join(c for c in map(chr, range(0x10000)) if c.isupper() and c.isalnum())
+_BEYOND = re.compile("[\U00010000-\U0010ffff]")
+_BESIDE = re.compile(rf"[{_CAPITAL}][\w'’-]++(?:[ .,]++[{_CAPITAL}][\w'’-]++)+")
+_ASCII_BESIDE = re.compile(r"[A-Z][A-Za-z0-9_'-]++(?:[ .,]++[A-Z][A-Za-z0-9_'-]++)+")
 
 
 def plain_words(text: str) -> set[str]:
     """The words of a text in lower case, but for those written with a capital beside another such word, as names are."""
+    return _plain_and_all_words(text)[0]
+
+
+def _plain_and_all_words(text: str) -> list[set[str]]:
+    low = lower(text)
+    words = _words(low)
+    every = set(words)
     if text.isupper():
-        return set()
-    found = list(_WORD.finditer(text))
-    capital = [m[0][0].isupper() for m in found]
-    beside = [a and b and not text[m.end() : o.start()].strip(" .,") for m, o, a, b in zip(found, found[1:], capital, capital[1:])]
-    return {lower(m[0]) for m, before, after in zip(found, [False, *beside], [*beside, False]) if not before and not after}
+        return [set(), every]
+    if not text.isascii() and ("Σ" in text or _BEYOND.search(text)):  # the lower case of Σ depends on what is around it
+        return [_plain_words(text), every]
+    beside: list[str] = []
+    for m in (_ASCII_BESIDE if text.isascii() else _BESIDE).finditer(text):
+        before = text[m.start() - 1 : m.start()]
+        if before.isalnum() or before in ("_", "'", "’", "-"):  # it may begin within a word
+            return [_plain_words(text), every]
+        beside += _words(low[m.start() : m.end()])
+    return [every.difference(w for w in set(beside) if words.count(w) == beside.count(w)) if beside else every, every]
+
+
+def _plain_words(text: str) -> set[str]:
+    """The same word by word."""
+    parts = _SPLIT_WORDS.split(text)  # what is between words, and words, in turn
+    words, between = parts[1::2], parts[2::2]
+    capital = [w[0].isupper() for w in words]
+    beside = [i for i, (a, b) in enumerate(zip(capital, capital[1:])) if a and b and not between[i].strip(" .,")]
+    named = {*beside, *(i + 1 for i in beside)}
+    return {lower(w) for i, w in enumerate(words) if i not in named}
 
 
 def _counted(rows: DataFrame, keys: Callable[[str], list], names: list[str]) -> DataFrame:
@@ -516,21 +606,14 @@ def blank_finder(texts: DataFrame, scale: float) -> Finder:
     n = max(1, texts.count())
     least_word, least_pair = max(3, COMMON * n), 6 * scale
 
-    def words(text: str) -> list:
-        every = set(_WORD.findall(lower(text)))
-        if text.isascii() and not _CAPITALS.search(text):  # no word stands beside another one with a capital, so all are plain
-            return [every, every]
-        return [plain_words(text), every]
-
-    found = _counted(texts, words, ["share", "every"]).where(F.col("n") >= min(least_word, least_pair)).toPandas()
+    found = _counted(texts, _plain_and_all_words, ["share", "every"]).where(F.col("n") >= min(least_word, least_pair)).toPandas()
     share, every = ({k: c / n for k, c in zip(part["key"], part["n"]) if c >= least_word} for part in (found[found["what"] == what] for what in ("share", "every")))
     # both words of a pair are in at least as many texts as the pair
     frequent = texts.sparkSession.sparkContext.broadcast(frozenset(found.loc[(found["what"] == "every") & (found["n"] >= least_pair), "key"]))
 
     def together(text: str) -> list:
-        ws = _WORD.findall(lower(text))
-        on = [w in frequent.value for w in ws]
-        return [{f"{a} {b}" for a, b, i, j in zip(ws, ws[1:], on, on[1:]) if i and j}]
+        ws, known = _words(lower(text)), frequent.value
+        return [{f"{a} {b}" for a, b in zip(ws, ws[1:]) if a in known and b in known}]
 
     pairs = _counted(texts, together, ["pair"]).where(F.col("n") >= least_pair).toPandas()
     return Finder(share, every, {k: c / n for k, c in zip(pairs["key"], pairs["n"])})

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -153,3 +155,50 @@ def test_all_texts_are_counted_and_looked_at(spark, monkeypatch):
     assert alone["n"].sum() == sum(k for _, k in proposed) > 0
     assert often == {w: k / scale for w, k in sum((Counter({w: k}) for w, k in proposed if w), Counter()).items() if k > 3 * scale}
     assert Counter(surroundings) == calm  # few enough to take each as often as it is there
+
+
+ODD = ["O’Neil, Jürgen M. Müller", "App. It Works", "ΣΑΣ ΟΔΟΣ Όδος ΣΑΣ", "4Word 'Word a'Word Foo,\tBar", "iPhone Max Pro Ünal", "QQ 12 34 56 C", "x1234567", "ab12 cdef ghij", "+(1234567", "1.2.3.4.5.6.7", "Ring 12", "a. \n b. c!  d\n\n  some more. ", "one, two three four five six seven", "नमस्ते राहुल।  ठीक है", "BNZPM 2501F", ""]
+
+
+def odd_texts() -> list[str]:
+    rng = random.Random(5)
+    pieces = [*"aB1 .,'-_@(/)+\n\t’éÉΣс9।", "at", "dot", " Rd", " 12", "Mr. ", "Flat ", "street", "straße ", "Ab Cd", "12345", "two "]
+    return [personal.plain(t) for t in ODD + ["".join(rng.choices(pieces, k=rng.randint(1, 40))) for _ in range(4000)]]
+
+
+def test_nothing_is_missed_by_looking_first():
+    """What is looked for first never hides a span: the proposals are those of all generators on the whole text."""
+    finder, g = personal.Finder({}), personal._GENERATORS
+    for text in odd_texts():
+        low = personal.lower(text)
+        words = set(personal._WORD.findall(low))
+        want = [(m.start(), m.end(), k) for k in ("digits", "pan", "iban", "letters") for m in g[k].finditer(low)]
+        if not words.isdisjoint(personal._SPOKEN):
+            want += [(m.start(), m.end(), "spelled") for m in g["spelled"].finditer(low)]
+        if personal._DIGIT.search(low) and (not words.isdisjoint(personal._STREET_WORDS) or re.search("straße|strasse|gasse|weg |platz |allee |ring |ufer |damm ", low)):
+            want += [(m.start(), personal._TAIL.match(low, m.end()).end(), k) for k in ("number_first", "flat", "street_first", "compound") for m in g[k].finditer(low)]
+        assert sorted(s for s in finder._number_spans(low, words) if s[2] != "email") == sorted(want), text
+
+
+def test_words_and_sentences_as_defined():
+    capped = re.compile(r"(?<![\w'’.-])(?=[A-ZÀ-ÖØ-ÞА-ЯЁ](?:\.\s*|[\w'’-]+,?\s+)[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*[^\W\d_A-ZÀ-ÖØ-ÞА-ЯЁ](?![\w'’-]))")
+    for text in odd_texts():
+        found = list(personal._WORD.finditer(text))
+        beside = [a[0][0].isupper() and b[0][0].isupper() and not text[a.end() : b.start()].strip(" .,") for a, b in zip(found, found[1:])]
+        alone = {personal.lower(m[0]) for m, before, after in zip(found, [False, *beside], [*beside, False]) if not before and not after}
+        assert personal._plain_and_all_words(text) == [set() if text.isupper() else alone, set(personal._WORD.findall(personal.lower(text)))], text
+        assert personal._sentences([text]) == [s.strip() for s in re.split(r"(?<=[.!?।])\s+|\n", text) if 10 <= len(s) <= 160], text
+        assert personal.Finder({})._pair_places(text, text, set()) == [m.start() for m in capped.finditer(text)], text
+
+
+def test_no_work_is_done_twice(trained, monkeypatch):
+    """A sentence with a number is set aside without its features, and names of the same features are scored once."""
+    features, scored = [], []
+    monkeypatch.setattr(personal.Finder, "_features", lambda *a: features.append(a))
+    assert trained.calm("Please phone 0171 5550143 tomorrow") is None and not features
+    score = personal.Finder._score
+    monkeypatch.setattr(personal.Finder, "_score", lambda self, rows, named: scored.extend(rows) or score(self, rows, named))
+    trained._scored.clear()
+    texts = [f"Kudos to Ananya {x}yer for it" for x in "BCDFGHJK"]
+    assert trained.spans(texts + texts[:4]) == trained.spans(texts + texts[:4])
+    assert 0 < len(scored) == len(set(scored)) < len(texts)
